@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import fingerprints, mixing, packing, secrets
+from waymark.llm import fingerprints, mixing, packing, quality, secrets
 from waymark.session import table
 
 
@@ -22,12 +22,16 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op5_mix_sources, op6_pack_sequences, op8_secret_scans)}
+    return {f.__name__: f for f in (op2_fingerprints, op5_mix_sources, op6_pack_sequences, op7_quality, op8_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
