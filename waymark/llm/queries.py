@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import fingerprints, mixing, packing, quality, secrets
+from waymark.llm import fingerprints, mixing, ngram_join, packing, quality, secrets
 from waymark.session import table
 
 
@@ -14,6 +14,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op5_mix_sources, op6_pack_sequences, op7_quality, op8_secret_scans)}
+    return {f.__name__: f for f in (op2_fingerprints, op4_ngram_join, op5_mix_sources, op6_pack_sequences, op7_quality, op8_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
