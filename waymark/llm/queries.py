@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import fingerprints, mixing, ngram_join, packing, quality, secrets
+from waymark.llm import ann, fingerprints, licenses, mixing, ngram_join, packing, quality, secrets
 from waymark.session import table
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -34,8 +38,12 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), "doc_id"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op4_ngram_join, op5_mix_sources, op6_pack_sequences, op7_quality, op8_secret_scans)}
+    return {f.__name__: f for f in (op1_nearest, op2_fingerprints, op4_ngram_join, op5_mix_sources, op6_pack_sequences, op7_quality, op8_secret_scans, op9_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
