@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import ann, fingerprints, licenses, mixing, ngram_join, packing, quality, secrets
+from waymark.llm import ann, fingerprints, licenses, lm, mixing, ngram_join, packing, quality, secrets
 from waymark.session import table
 
 
@@ -42,8 +42,12 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_fingerprints, op4_ngram_join, op5_mix_sources, op6_pack_sequences, op7_quality, op8_secret_scans, op9_license_scans)}
+    return {f.__name__: f for f in (op1_nearest, op2_fingerprints, op4_ngram_join, op5_mix_sources, op6_pack_sequences, op7_quality, op8_secret_scans, op9_license_scans, op10_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
