@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import ann, fingerprints, licenses, lm, mixing, ngram_join, packing, quality, secrets
+from waymark.llm import ann, chat, fingerprints, licenses, lm, mixing, ngram_join, packing, quality, secrets
 from waymark.session import table
 
 
@@ -18,6 +18,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_fingerprints, op4_ngram_join, op5_mix_sources, op6_pack_sequences, op7_quality, op8_secret_scans, op9_license_scans, op10_lm_scores)}
+    return {f.__name__: f for f in (op1_nearest, op2_fingerprints, op3_chat_format, op4_ngram_join, op5_mix_sources, op6_pack_sequences, op7_quality, op8_secret_scans, op9_license_scans, op10_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
