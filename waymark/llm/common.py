@@ -54,6 +54,14 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't use, so that no extra column is overwritten."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_column(name: str = "text") -> Column:
     """A text with null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.common import stage, text_column, word_count
+from waymark.llm.common import free, stage, text_column, word_count
 
 PREFIX_DIGITS = 3
 #: Leaves up to this number are broadcast (about 100 bytes each); more are joined by an exchange.
@@ -98,10 +98,10 @@ def leaf_budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     return leaves.join(budgets, list(LEVELS)).select(*LEVELS, "avail", F.col("budget").alias("got"))
 
 
-def with_leaf(docs: DataFrame) -> DataFrame:
-    """_domain, _lang, _source beside the columns of docs."""
+def leaf_columns() -> dict[str, Column]:
+    """The leaf of a document, by level."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
-    return docs.withColumns({"_domain": domain_of(name("source")), "_lang": name("lang"), "_source": name("source")})
+    return {"domain": domain_of(name("source")), "lang": name("lang"), "source": name("source")}
 
 
 def cutoffs(sizes: DataFrame, plan: Plan) -> DataFrame:
@@ -136,9 +136,7 @@ def chosen_epochs(cut: Column, whole: Column, doc_id: Column, plan: Plan) -> Col
 
 
 def measured(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
-    leafed = with_leaf(docs)
-    sizes = leafed.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), word_count(text_column()).alias("tokens"))
-    sizes = stage(sizes, "sizes")
+    sizes = stage(docs.select("doc_id", *(c.alias(k) for k, c in leaf_columns().items()), word_count(text_column()).alias("tokens")), "sizes")
     return sizes, cutoffs(sizes, plan)
 
 
@@ -156,9 +154,10 @@ def mixture(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """The rows of docs in the mixture, once per epoch taken; the cut is a key, so texts are not exchanged."""
     _, cuts = measured(docs, plan)
-    cuts = cuts.select(*(F.col(c).alias(f"_{c}") for c in LEVELS), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
-    joined = with_leaf(docs).join(small(cuts), ["_domain", "_lang", "_source"])
-    taken = joined.withColumn("_epoch", F.explode(chosen_epochs(F.col("_cut"), F.col("_whole"), F.col("doc_id"), plan)))
+    own = {c: free(docs, f"_{c}") for c in (*LEVELS, "whole", "cut", "epoch")}
+    leafed = docs.withColumns({own[k]: c for k, c in leaf_columns().items()})
+    joined = leafed.join(small(cuts.withColumnsRenamed(own)), [own[c] for c in LEVELS])
+    taken = joined.withColumn(own["epoch"], F.explode(chosen_epochs(F.col(own["cut"]), F.col(own["whole"]), F.col("doc_id"), plan)))
     return taken.select(*docs.columns)
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import stage, text_column
+from waymark.llm.common import free, stage, text_column
 from waymark.llm.components import components
 
 WORDS = 5
@@ -241,6 +241,7 @@ def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """The rows of docs, one of each class: that of the least doc_id (a null doc_id stands for its own class)."""
     found = stage(joined(docs, recall).select("doc_id", "class_id"), "kept")
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    own = free(docs, "_id")
+    kept = docs.join(keep.withColumnRenamed("doc_id", own), docs["doc_id"].eqNullSafe(F.col(own)), "left_semi")
     rows, ids = found.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))))).first()
     return kept if rows == ids else kept.dropDuplicates(["doc_id"])

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import text_column
+from waymark.llm.common import free, text_column
 
 MOST_TRAINED = 20_000
 FOLDS = 5
@@ -176,4 +176,5 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are not rejected, with their columns."""
     forest = train(docs, labels)
-    return docs.withColumn("_score", scores(text_column(), forest)).filter(F.col("_score") >= threshold).select(*docs.columns)
+    scored = free(docs, "_score")
+    return docs.withColumn(scored, scores(text_column(), forest)).filter(F.col(scored) >= threshold).select(*docs.columns)

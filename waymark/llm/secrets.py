@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.common import fresh_path, shared_dir, text_column
+from waymark.llm.common import free, fresh_path, text_column
 
 
 @dataclass(frozen=True)
@@ -169,15 +169,16 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     body = text_column()
     maybe = docs.filter(hinted(body, rules))
     scan_versions(docs, "doc_id", ledger, rules)
-    with_blob = maybe.withColumn("_blob", blob_of(body))
-    joined = with_blob.join(findings_by_blob(spark, ledger, rules).withColumnsRenamed({"blob": "_blob", "found": "_found"}), "_blob", "left")
+    blob, found = free(docs, "_blob"), free(docs, "_found")
+    with_blob = maybe.withColumn(blob, blob_of(body))
+    joined = with_blob.join(findings_by_blob(spark, ledger, rules).withColumnsRenamed({"blob": blob, "found": found}), blob, "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     step = lambda a, x: F.struct(
         F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mask))).otherwise(a["out"]).alias("out"),
         F.greatest(a["at"], x["end"]).alias("at"),
     )
     end = lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    clean = joined.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.aggregate("_found", start, step, end)))
+    clean = joined.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(F.aggregate(found, start, step, end)))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        clean = clean.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return docs.filter(~hinted(body, rules)).unionByName(clean.select(docs.columns))
