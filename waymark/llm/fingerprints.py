@@ -4,7 +4,7 @@ PrefixHashes holds, for a text's code points c, the prefix sums of (c+1) * B**i
 Any span's 62-bit hash follows from two prefix entries, so span equality is a comparison, and the longest common
 extension of two positions is a binary search over span lengths. A fingerprint is the length, the whole text's
 hash and a sketch of BINS bins over the hashes of all spans of SPAN code points; two fingerprints' likeness
-estimates the Dice coefficient of their span sets.
+estimates the Dice coefficient of their spans, repeated ones counted each.
 
 Defined cases: null text is the empty text; texts shorter than SPAN count as one span; the empty text's sketch
 is empty, alike only to the empty text. Rows may repeat: the order is by doc_id (null first), then text, and each
@@ -31,6 +31,7 @@ SPAN = 16
 BINS = 128
 BLOCK = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
+AGAIN = np.uint64(0xD1342543DE82EF95)
 FIRST_KEY = -(2**63)
 
 
@@ -140,9 +141,23 @@ def common_extension(a: PrefixHashes, i: int, b: PrefixHashes, j: int) -> int:
     return low
 
 
+def counted(windows: np.ndarray) -> np.ndarray:
+    """Equal hashes made different by their number, so that a repeated span counts as often as it stands there."""
+    order = np.argsort(windows)
+    ordered = windows[order]
+    new = np.ones(len(windows), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if new.all():
+        return windows
+    at = np.arange(len(windows))
+    nth = np.empty(len(windows), np.uint64)
+    nth[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return windows + nth * AGAIN
+
+
 def sketch(windows: np.ndarray) -> bytes:
     """One byte a bin: 0 for an empty bin, else 1 to 255 from the smallest mixed hash in it."""
-    mixed = windows * MIX
+    mixed = counted(windows) * MIX
     mixed ^= mixed >> np.uint64(29)
     mixed *= MIX
     least = np.full(BINS, 2**32, np.uint64)
@@ -160,7 +175,7 @@ def fingerprint(text: str | None) -> str:
 
 
 def likeness(a: str, b: str) -> float:
-    """From two fingerprints, the estimated Dice coefficient of their texts' span sets, 0 to 1."""
+    """From two fingerprints, the estimated Dice coefficient of their texts' spans, 0 to 1."""
     if a == b:
         return 1.0
     x, y = (np.frombuffer(bytes.fromhex(f.rpartition("-")[2]), np.uint8) for f in (a, b))
