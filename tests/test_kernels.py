@@ -14,6 +14,7 @@ from waymark.sources import generators
 WORK = {
     ("maze", 500, 0): 2430, ("maze", 500, 1): 1922, ("maze", 500, 2): 2279, ("maze", 5000, 0): 28853, ("sparse", 500, 0): 5767, ("sparse", 500, 1): 5768, ("sparse", 500, 2): 3, ("sparse", 500, 4): 5498,
     ("sparse", 5000, 0): 84824, ("sparse", 5000, 4): 82326, ("clusters", 500, 0): 24546, ("clusters", 500, 1): 24574, ("clusters", 500, 2): 24129, ("adversarial", 500, 0): 8562, ("adversarial", 500, 1): 8568, ("adversarial", 5000, 0): 118508,
+    ("cascade3", 500, 0): 13993, ("cascadeAll", 500, 0): 57439, ("cascadeHub", 500, 0): 56989, ("wideFrontier", 500, 0): 7435, ("city", 500, 0): 10075, ("city", 500, 1): 10180, ("city", 500, 1729): 9830,
 }
 
 
@@ -38,7 +39,7 @@ def exact(arcs, source):
 
 def test_lanes_agree_on_seeded_graphs():
     for seed in range(300):
-        kind = ("maze", "clusters", "adversarial", "sparse")[seed % 4]
+        kind = ("maze", "clusters", "adversarial", "sparse", "city", "wideFrontier")[seed % 6]
         n = 8 + seed % 40
         arcs, source = Arcs(n, generators.build(kind, n, seed)[1]), seed % n
         want = exact(arcs, source)

@@ -121,11 +121,14 @@ MAKERS: dict[str, Callable[[int, int], Built]] = {"sparse": sparse, "maze": maze
 
 
 def build(kind: str, n: int, seed: int) -> Built:
-    if kind not in MAKERS:
+    from waymark.sources import families
+
+    make = MAKERS.get(kind) or families.MAKERS.get(kind)
+    if make is None:
         raise ValueError(f"no such kind of graph: {kind}")
     if n < 1:
         raise ValueError("a graph needs at least one vertex")
-    return MAKERS[kind](n, seed)
+    return make(n, seed)
 
 
 def generate(spark: SparkSession, specs: list[tuple[str, int, int]]) -> DataFrame:
