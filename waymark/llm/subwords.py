@@ -15,12 +15,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept per worker (about 200 bytes each); beyond it only the present texts' words stay.
-MOST_WORDS = 600_000
+MOST_WORDS = 1_000_000
 LONGEST_WORD = 64
 #: Characters that normalise alone and lower-case the same in any context; other words go to the tokenizer singly.
 PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]+").fullmatch
-#: Python's str.split() takes these for white space, the tokenizer doesn't.
-ODD_SPACE = re.compile(r"[\x1c-\x1f]").search
+#: Python's str.split() takes the first for white space, the tokenizer doesn't; the second may open a special token.
+ODD_SPACE = re.compile(r"[\x1c-\x1f]|<\|").search
 #: Fixed value: the tokenizer file's own split pattern, for Latin-1 characters.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
 
@@ -47,27 +47,39 @@ class Subwords:
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Put words into the cache: plain ones by their pieces, encoded together; the others one by one."""
-        known = self.known
-        pieces = {w: PIECES(w.lower()) for w in words if PLAIN(w)}
-        new = list({p for ps in pieces.values() for p in ps} - known.keys())
-        if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+    def learn(self, words: set[str]) -> None:
+        """Put words into the cache. Letters alone are a piece; a closing mark is a piece of its own; other plain
+        words are split by the pattern; all new pieces are encoded together. Words that aren't plain go singly."""
+        known, parts, new = self.known, {}, set()
+        for w in words:
+            if not PLAIN(w):
+                known[w] = self.direct(w)
+            elif w.isalpha():
+                parts[w] = (w.lower(),)
+            elif w[-1] in ".,;:!?" and w[:-1].isalpha():
+                parts[w] = (w[:-1].lower(), w[-1])
+            else:
+                parts[w] = PIECES(w.lower())
+        for pieces in parts.values():
+            new.update(pieces)
+        fresh = list(new - known.keys())
+        if fresh:
+            ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(new):
+            if len(stops) == len(fresh):
                 raw, start = ids.tobytes(), 0
-                for piece, stop in zip(new, (stops * 4).tolist(), strict=True):
+                for piece, stop in zip(fresh, (stops * 4).tolist(), strict=True):
                     known[piece] = raw[start:stop]
                     start = stop
             else:
-                for piece in new:
+                for piece in fresh:
                     known[piece] = self.direct(piece)
-        for w in words:
-            known[w] = b"".join(map(known.__getitem__, pieces[w])) if w in pieces else self.direct(w)
+        for w, pieces in parts.items():
+            if w not in known:
+                known[w] = b"".join([known[p] for p in pieces])
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [None if ODD_SPACE(t) else t.split() for t in texts]
+        split = [words_of(t) for t in texts]
         known = self.known
         missing = {w for words in split if words for w in words if w not in known}
         long = {w for w in missing if len(w) > LONGEST_WORD}
@@ -75,19 +87,31 @@ class Subwords:
         if len(known) + len(missing) > MOST_WORDS:
             present = {w for words in split if words for w in words}
             self.known = known = {w: known[w] for w in present & known.keys()}
-        self.learn(list(missing))
+        self.learn(missing)
         get = known.__getitem__
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
                 out.append(self.direct(text))
             elif long and not long.isdisjoint(words):
-                out.append(b"".join(self.direct(w) if w in long else get(w) for w in words))
+                out.append(b"".join([self.direct(w) if w in long else get(w) for w in words]))
             else:
                 out.append(b"".join(map(get, words)))
         return out
 
 
+def words_of(text: str) -> list[str] | None:
+    """The text's words; lower-cased where all of it is Latin-1, whose letters lower-case alike in any context. None if
+    Python and the tokenizer differ on its white space."""
+    if ODD_SPACE(text):
+        return None
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()
+    return text.lower().split()
+
+
 _subwords: dict[str, Subwords] = {}
 
 
