@@ -43,7 +43,7 @@ def test_lanes_agree_on_seeded_graphs():
         n = 8 + seed % 40
         arcs, source = Arcs(n, generators.build(kind, n, seed)[1]), seed % n
         want = exact(arcs, source)
-        for algorithm in ("dijkstra", "bounded"):
+        for algorithm in ("dijkstra", "bounded", "forest"):
             assert run_one(arcs, algorithm, source)[1] == want
 
 
@@ -53,7 +53,8 @@ def test_lanes_agree_on_ties():
         arcs = [(u, v, 1.0 if next(draws) < 0.5 else 2.0) for u in range(n) for v in range(n) if u != v and next(draws) < 0.4]
         graph = Arcs(n, arcs)
         for k, t in ((None, None), (1, 1), (2, 1), (3, 2)):
-            assert run_one(graph, "bounded", seed % n, k, t)[1] == exact(graph, seed % n)
+            for algorithm in ("bounded", "forest"):
+                assert run_one(graph, algorithm, seed % n, k, t)[1] == exact(graph, seed % n)
 
 
 def test_golden_chain():
@@ -100,3 +101,31 @@ def test_bad_graphs():
     for call in (lambda: generators.build("torus", 5, 1), lambda: generators.build("maze", 0, 1), lambda: generators.build("sparse", 2, 1)):
         with pytest.raises(ValueError):
             call()
+
+
+def test_labels_break_ties_by_the_least_tail():
+    out, dist, pred = run_one(Arcs(3, [(0, 1, 1.0), (0, 2, 1.0), (1, 2, 1.0), (2, 1, 1.0)]), "forest")
+    assert dist == [0, 1, 1] and pred == [-1, 0, 0]
+
+
+def test_trees_are_cut_into_groups():
+    from waymark.kernels.forest import cut_tree
+
+    for seed in range(60):
+        draws, n, size = Draws(seed), 3 + seed % 40, 1 + seed % 5
+        sides = [(v, draws.index(v), v) for v in range(1, n)]
+        groups = cut_tree(list(range(n)), sides, size)
+        edges = [e for _, es in groups for e in es]
+        assert sorted(edges) == [e for e, _, _ in sides]
+        assert set().union(*(set(vs) for vs, _ in groups)) == set(range(n))
+        assert all(size <= len(set(vs)) < max(3 * size, 3) for vs, _ in groups) or len(groups) == 1
+
+
+def test_local_searches_on_a_chain():
+    from waymark.kernels.forest import ENDLESS, Lane
+
+    lane = Lane(Arcs(3, [(0, 1, 1.0), (1, 2, 1.0)]), 0, parameters.Bounded(2, 1, 1), Recorder())
+    groups, lone, small = lane.pivots(ENDLESS, [0])
+    assert groups == [[0]] and lone == [] and small == []
+    kinds = [(r[0], r[3]) for r in lane.out.rows]
+    assert kinds == [(2, 0), (2, 1), (0, 1), (6, 0), (2, 0), (6, 1)]

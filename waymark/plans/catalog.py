@@ -472,6 +472,13 @@ def bmssp_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lane_plans.run_lanes(lane_plans.specs(spark, [("sparse", 500, s, "bounded") for s in range(3)]))
 
 
+@query()
+def dmsy_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.plans import lanes as lane_plans
+
+    return lane_plans.run_lanes(lane_plans.specs(spark, [("sparse", 500, s, "forest") for s in range(3)]))
+
+
 @query()
 def dijkstra_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.plans import sweeps

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.functions import parameters
-from waymark.kernels import bounded, dijkstra
+from waymark.kernels import bounded, dijkstra, forest
 from waymark.kernels.record import INFINITY, Arcs, Recorder
 from waymark.schema import TRACE
 from waymark.sources import generators
@@ -27,6 +27,8 @@ def run_one(arcs: Arcs, algorithm: str, source: int = 0, k: int | None = None, t
         return out, *dijkstra.run(arcs, source, out)
     if algorithm == "bounded":
         return out, *bounded.run(arcs, source, parameters.bounded(arcs.n, k, t), out)
+    if algorithm == "forest":
+        return out, *forest.run(arcs, source, parameters.forest(arcs.n, 3, k, t), out)
     raise ValueError(f"no such lane: {algorithm}")
 
 
