@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.llm.common import hashed_sample
+
 K = 10
 MOST_SAMPLED = 8192
 ROWS_A_PART = 4096
@@ -204,7 +206,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, target: float = TAR
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k nearest found."""
     spark = vectors.sparkSession
     rows = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MOST_SAMPLED).toPandas()  # bounded
+    sample = hashed_sample(rows, "vec_id", MOST_SAMPLED).toPandas()  # bounded
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = int(sample["vector"].map(len).mode().iloc[0])

@@ -54,6 +54,15 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows, those whose key hashes lowest; about as many, if there are more. A filter by hash comes
+    first, so that tasks hand on a few rows beyond the sample and not `most` each."""
+    share, scale = min(1.0, 1.25 * most / max(1, rows.count())), 2**40
+    if share < 1:
+        rows = rows.filter(F.pmod(F.xxhash64(key), F.lit(scale)) < int(share * scale))
+    return rows.orderBy(F.pmod(F.xxhash64(key), F.lit(scale)), key).limit(most)
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name like this one that df doesn't use, so that no extra column is overwritten."""
     taken = {c.lower() for c in df.columns}

@@ -4,7 +4,7 @@ Statistics come from the whole text alone (never from labels, lang, source or do
 level on binned statistics with logistic loss, then flattened into arrays of complete binary trees: a document's
 node at the next level is 2 * node + 1 + (value > threshold), for all documents and one tree at a time in numpy.
 
-The trees are fitted on a bounded sample: MOST_TRAINED labelled rows, those with the smallest xxhash64 of doc_id
+The trees are fitted on a bounded sample: MOST_TRAINED labelled rows, those whose doc_id hashes lowest
 among the rows that may be learnt from. Everything is scored.
 
 Defined cases: null text is the empty text, scored like any other; rows may repeat, each is scored; labels that
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import free, text_column
+from waymark.llm.common import free, hashed_sample, text_column
 
 MOST_TRAINED = 20_000
 FOLDS = 5
@@ -145,7 +145,7 @@ def fold_of(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED) -> Forest:
     """A forest from labelled documents outside the held-out fold, at most `most` of them."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
-    sample = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    sample = hashed_sample(usable.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", most)
     texts = docs.select("doc_id", text_column().alias("text")).join(F.broadcast(sample), "doc_id")  # `most` rows of 12 bytes
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
