@@ -46,5 +46,17 @@ def test_against_brute_force(spark, texts, odd):
         assert all(r["n_found"] == len([x for x in r["lines"].split(",") if x]) for r in rows)
 
 
+def test_sql_says_the_same(texts):
+    import duckdb
+    import pandas as pd
+
+    m = licenses.model()
+    rows = texts + [(10**6 + i, "x\n" + t + "\ny") for i, t in enumerate(CASES)] + [(-1, None)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = {r[0]: r[3] for r in con.execute(licenses.oracle_sql(m)).fetchall()}
+    assert got == {d: brute(t, m) for d, t in rows}
+
+
 def test_empty(none):
     assert licenses.digest(licenses.scan(none)).collect() == []

@@ -61,5 +61,15 @@ def test_redaction(spark, odd):
     assert shown[0]["text"] == '[SECRET]" x [SECRET]'
 
 
+def test_sql_says_the_same(texts):
+    import duckdb
+    import pandas as pd
+
+    rows = [*texts, *enumerate(TRICKY, 10**6), (-1, None)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert {tuple(r) for r in con.execute(secrets.oracle_sql()).fetchall()} == {digest(d, t) for d, t in rows}
+
+
 def test_empty(none):
     assert secrets.digest(secrets.scan(none, "doc_id")).collect() == [] and secrets.redact(none).collect() == []

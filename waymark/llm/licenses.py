@@ -179,3 +179,24 @@ def digest(scanned: DataFrame) -> DataFrame:
         "doc_id", F.size("found").cast("long").alias("n_found"), F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"])))).alias("licenses"),
         F.concat_ws(",", F.transform("found", lambda x: F.concat_ws(":", x["line"].cast("string"), x["family"]))).alias("lines"),
     )
+
+
+def oracle_sql(m: Model | None = None, docs: str = "documents") -> str:
+    """digest(scan()) in DuckDB's SQL, with the fitted weights written out."""
+    m = m or model()
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    names = [f"z{i}" for i in range(len(m.families))]
+    weights = ", ".join(f"({quoted(g)}, {', '.join(repr(float(v)) + '::DOUBLE' for v in m.weights[i])})" for g, i in m.vocabulary.items())
+    shares = ", ".join(f"({quoted(g)}, {quoted(f)}, {t}, {1 / len(grams(text))!r}::DOUBLE)" for f, ts in TEMPLATES.items() for t, text in enumerate(ts) for g in grams(text))
+    sums = ", ".join(f"(sum({z}) + {float(b)!r}) / {m.temperature!r} AS {z}" for z, b in zip(names, m.bias, strict=True))
+    family = "CASE " + " ".join(f"WHEN {z} = top THEN {quoted(f)}" for z, f in zip(names, m.families, strict=True)) + " END"
+    return f"""WITH weights(gram, {", ".join(names)}) AS (VALUES {weights}), shares(gram, family, template, share) AS (VALUES {shares}),
+d AS (SELECT doc_id, row_number() OVER () AS uid, string_split(coalesce(text, ''), chr(10)) AS parts FROM {docs}), p AS (SELECT uid, i - 1 AS line, parts[i] AS body FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM d)),
+w AS (SELECT uid, line, regexp_extract_all(lower(body), '{TOKEN}') AS words FROM p WHERE regexp_matches(body, '{ANCHOR}')),
+g AS (SELECT uid, line, unnest(list_distinct(list_concat(words, list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1])))) AS gram FROM w),
+z AS (SELECT uid, line, {sums} FROM g JOIN weights USING (gram) GROUP BY uid, line), y AS (SELECT *, greatest({", ".join(names)}) AS top FROM z),
+f AS (SELECT uid, line, {family} AS family, 1 / ({" + ".join(f"exp({z} - top)" for z in names)}) AS probability FROM y),
+s AS (SELECT DISTINCT uid, line, family FROM (SELECT uid, line, family, template, sum(share) AS share FROM g JOIN shares USING (gram) GROUP BY ALL) WHERE share >= {CONFIRMED}),
+c AS (SELECT uid, line, family FROM f JOIN s USING (uid, line, family) WHERE family <> '{UNKNOWN}' AND probability >= {m.least!r}),
+r AS (SELECT uid, count(*) AS n_found, string_agg(DISTINCT family, ',' ORDER BY family) AS licenses, string_agg(line || ':' || family, ',' ORDER BY line, family) AS lines FROM c GROUP BY uid)
+SELECT doc_id, coalesce(n_found, 0) AS n_found, coalesce(licenses, '') AS licenses, coalesce(lines, '') AS lines FROM d LEFT JOIN r USING (uid)"""

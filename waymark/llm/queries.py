@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.oracle_sql()}
+    return {"op5_mix_sources": mixing.oracle_sql(), "op8_secret_scans": secrets.oracle_sql(), "op9_license_scans": licenses.oracle_sql()}

@@ -182,3 +182,14 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return docs.filter(~hinted(body, rules)).unionByName(clean.select(docs.columns))
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES, docs: str = "documents") -> str:
+    """digest(scan()) in DuckDB's SQL, every text scanned by every rule."""
+    part = "SELECT doc_id, '{name}' AS kind, {nth} AS nth, {least} AS least, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS s, regexp_extract_all(t, '{p}', {group}) AS v FROM d"
+    parts = " UNION ALL ".join(part.format(name=r.name, nth=i, least=r.least_chars, group=r.group, p=r.pattern.replace("'", "''")) for i, r in enumerate(rules))
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.name}') AS n_{r.name}" for r in rules)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM {docs}), m AS ({parts}), x AS (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM m WHERE len(s) > 0),
+f AS (SELECT doc_id, kind, nth, CAST(list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(s[1:i - 1], lambda z: length(z))), 0) AS BIGINT) AS a, length(s[i]) AS n FROM x WHERE length(v[i]) >= least),
+r AS (SELECT doc_id, {counts}, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, nth) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.name}, 0) AS n_{r.name}" for r in rules)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""
