@@ -190,7 +190,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted(node, doc_id, digest, cluster, copies) with the set itself as `values`, made again from the text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
     w = wanted.withColumnRenamed("doc_id", "id")
-    pairs = texts.join(w, texts["doc_id"].eqNullSafe(w["id"])).select("node", "digest", "cluster", "copies", "text")
+    pairs = texts.join(w.hint("merge"), texts["doc_id"].eqNullSafe(w["id"])).select("node", "digest", "cluster", "copies", "text")
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -242,6 +242,7 @@ def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     found = stage(joined(docs, recall).select("doc_id", "class_id"), "kept")
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
     own = free(docs, "_id")
-    kept = docs.join(keep.withColumnRenamed("doc_id", own), docs["doc_id"].eqNullSafe(F.col(own)), "left_semi")
+    # both lists grow with the input: never broadcast, whatever the size
+    kept = docs.join(keep.withColumnRenamed("doc_id", own).hint("merge"), docs["doc_id"].eqNullSafe(F.col(own)), "left_semi")
     rows, ids = found.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))))).first()
     return kept if rows == ids else kept.dropDuplicates(["doc_id"])

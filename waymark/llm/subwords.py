@@ -15,7 +15,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept per worker (about 200 bytes each); beyond it only the present texts' words stay.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 700_000
 LONGEST_WORD = 64
 #: Characters that normalise alone and lower-case the same in any context; other words go to the tokenizer singly.
 PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]+").fullmatch
