@@ -76,6 +76,14 @@ def test_one_stays_of_each_group(spark, odd, texts):
     assert sorted(r["doc_id"] for r in ngram_join.keep_one(df).collect()) == sorted(classes)
 
 
+def test_one_stays_where_ids_are_null_or_shared(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, text(2)), (5, text(3)), (5, text(4)), (5, text(4)), (6, text(1)), (7, text(3) + " end"), (8, None), (8, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    kept = Counter((r["doc_id"], r["text"] or "") for r in ngram_join.keep_one(df).collect())
+    assert kept == Counter([(None, text(0)), (6, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (8, "")])
+
+
 def test_depth_shortens_until_the_recall():
     depth = ngram_join.depth_for()
     meet = lambda k: 1 - (1 - 0.8**k) ** ngram_join.TREES

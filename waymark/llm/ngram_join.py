@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import free, stage, text_column
@@ -83,8 +83,12 @@ def prefixes(values: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
     return out
 
 
+def text_hash() -> Column:
+    return F.unhex(F.md5(text_column().cast("binary")))
+
+
 def signatures(docs: DataFrame, depth: int) -> DataFrame:
-    """uid, doc_id, digest (of the set), n, k0.. (a prefix per tree; null for an empty set)."""
+    """uid, doc_id, h (of the text), digest (of the set), n, k0.. (a prefix per tree; null for an empty set)."""
     names = [f"k{i}" for i in range(TREES)]
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,10 +100,10 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
                 sizes.append(len(values))
                 keys.append(prefixes(values, depth).view(np.int64) if len(values) else np.zeros(TREES, np.int64))
             table = pd.DataFrame(np.array(keys, np.int64).reshape(len(frame), TREES), columns=names)
-            yield pd.concat([frame[["uid", "doc_id"]].reset_index(drop=True), pd.DataFrame({"digest": digests, "n": sizes}), table], axis=1)
+            yield pd.concat([frame[["uid", "doc_id", "h"]].reset_index(drop=True), pd.DataFrame({"digest": digests, "n": sizes}), table], axis=1)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    return rows.mapInPandas(sign, "uid long, doc_id long, digest binary, n long, " + ", ".join(f"{k} long" for k in names))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), text_column().alias("text"))
+    return rows.mapInPandas(sign, "uid long, doc_id long, h binary, digest binary, n long, " + ", ".join(f"{k} long" for k in names))
 
 
 def candidate_clusters(classes: DataFrame) -> DataFrame:
@@ -233,16 +237,20 @@ def joined(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     roots = components(checked.filter("node != other").select(F.col("node").alias("u"), F.col("other").alias("v"))).withColumnRenamed("id", "node")
     known = classes.select("digest", "node", "doc_id", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    known = known.join(least, "root").select("digest", "copies", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("uid", "doc_id", "digest").join(known, "digest")
+    known = known.join(least, "root").select("digest", "root", "copies", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed.select("uid", "doc_id", "h", "digest").join(known, "digest")
 
 
 def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """The rows of docs, one of each class: that of the least doc_id (a null doc_id stands for its own class)."""
-    found = stage(joined(docs, recall).select("doc_id", "class_id"), "kept")
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    own = free(docs, "_id")
+    """The rows of docs, one of each class: that of the least doc_id (null last), then of the least hash of its text."""
+    rows = joined(docs, recall).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "n")).alias("least")
+    own, own_h = free(docs, "_id"), free(docs, "_hash")
+    found = stage(rows.groupBy("root").agg(least).select(F.col("least.doc_id").alias(own), F.col("least.h").alias(own_h), F.col("least.n").alias("n")), "kept")
     # both lists grow with the input: never broadcast, whatever the size
-    kept = docs.join(keep.withColumnRenamed("doc_id", own).hint("merge"), docs["doc_id"].eqNullSafe(F.col(own)), "left_semi")
-    rows, ids = found.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))))).first()
-    return kept if rows == ids else kept.dropDuplicates(["doc_id"])
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(own)) & (text_hash() == F.col(own_h))
+    kept = docs.join(found.select(own, own_h).hint("merge"), same, "left_semi")
+    if found.filter("n > 1").isEmpty():
+        return kept
+    # rows that repeat with id and text
+    return kept.withColumn(own_h, text_hash()).dropDuplicates(["doc_id", own_h]).drop(own_h)
