@@ -42,6 +42,27 @@ def test_recall_and_scores(spark, monkeypatch):
     assert [v for v, _ in got[alike]] == [v for v, _ in want[alike]]
 
 
+def test_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(60, 8)), 3).astype(np.float32).astype(float)
+    ids = np.arange(60) * 50
+    want = brute(ids, x, 10)
+    assert search(frame(spark, ids.repeat(2), x.repeat(2, axis=0))) == search(frame(spark, ids, x))
+    # ten of each, and a second, far vector for every id
+    many, far = frame(spark, ids.repeat(10), x.repeat(10, axis=0)), frame(spark, ids[ids % 100 != 0], x[ids % 100 != 0] + 50)
+    got = search(many.unionByName(far))
+    assert {q: [v for v, _ in n] for q, n in got.items()} == {q: [v for v, _ in n] for q, n in want.items()}
+
+
+def test_block_counts_each_id_once():
+    import pandas as pd
+
+    x = np.arange(1, 41, dtype=float)[:, None] * [1.0, 0.5]
+    rows = pd.DataFrame({"vec_id": np.arange(40).repeat(5), "vector": [v for v in x for _ in range(5)]})
+    near = ann.rank_block(pd.DataFrame({"query_id": [0], "vector": [x[0]]}), rows, 10)
+    assert near["vec_id"].tolist() == list(range(1, 11))
+
+
 def test_few_and_odd_vectors(spark, none):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [float("inf"), 0.0]), (7, [1.0, 0.0, 0.0]), (None, [1.0, 2.0]), (8, [1.0, 1.0]), (8, [1.0, 1.0]), (100, [0.5, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

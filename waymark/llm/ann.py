@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.common import hashed_sample
+from waymark.llm.common import hashed_sample, stage
 
 K = 10
 MOST_SAMPLED = 8192
@@ -176,8 +176,9 @@ def rank_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFram
     """The k nearest of rows to each query: a product picks a few more than k, exact distances rank them."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(queries) and len(rows):
-        rows = rows.drop_duplicates(["vec_id", "copy"]) if "copy" in rows else rows
+        rows = rows.sort_values("vec_id", kind="stable")
         x, ids = matrix(rows["vector"]), rows["vec_id"].to_numpy()
+        starts = np.unique(ids, return_index=True)[1]
         norms = (x**2).sum(axis=1)
         slack = 1e-9 * (norms.max() + 1)
         for start in range(0, len(queries), 256):
@@ -185,7 +186,8 @@ def rank_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFram
             q, own = matrix(part["vector"]), part["query_id"].to_numpy()
             rough = norms - 2 * q @ x.T
             rough[own[:, None] == ids[None, :]] = np.inf
-            last = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            least = rough if len(starts) == len(ids) else np.minimum.reduceat(rough, starts, axis=1)  # of each vec_id
+            last = np.partition(least, min(k, len(starts)) - 1, axis=1)[:, min(k, len(starts)) - 1]
             for i, limit in enumerate(last):
                 at = np.flatnonzero((rough[i] <= limit + slack + 1e-9 * (q[i] ** 2).sum()) & np.isfinite(rough[i]))
                 score = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
@@ -210,13 +212,14 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, target: float = TAR
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = int(sample["vector"].map(len).mode().iloc[0])
-    rows = usable(vectors, dim)
+    rows = stage(usable(vectors, dim).dropDuplicates(["vec_id", "vector"]), "vectors")
     total = rows.count()
     parts = int(np.clip(total // ROWS_A_PART, LEAST_PARTS, MOST_PARTS))
     router = learn(matrix(sample["vector"][sample["vector"].map(len) == dim]), parts, k, target)
     index = placed(rows, router, 1).select("vec_id", "vector", F.col("parts")[0].alias("part"))
-    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # a row a part
-    blocks = {p: -(-n // BLOCK_ROWS) for p, n in sizes.items()}
+    counted = index.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).collect()  # a row a part
+    sizes = {r["part"]: r["ids"] for r in counted}
+    blocks = {r["part"]: -(-r["n"] // BLOCK_ROWS) for r in counted}
     wanted = placed(rows.filter(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id"), router, len(router.b2))
     table = lambda of: F.create_map(*(F.lit(int(x)) for pair in of.items() for x in pair))
     there = F.transform("parts", lambda p: F.coalesce(table(sizes)[p], F.lit(0)).cast("long"))
