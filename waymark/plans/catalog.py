@@ -107,6 +107,12 @@ def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sssp.reachable(edges, first_vertex(edges))
 
 
+@query()
+def reachability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graphs.successions(spark, sf_dir)
+    return sssp.reachable(edges, first_vertex(edges))
+
+
 @query(f"""WITH RECURSIVE {graphs.PURCHASES_SQL}, {FULL}, p AS (SELECT v, {PLACES} FROM r), q AS (SELECT p.v, (p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) AS d2 FROM p, (SELECT * FROM p ORDER BY v LIMIT 1) o WHERE p.v <> o.v)
 SELECT v, d2 FROM q ORDER BY d2 DESC, v LIMIT 1""")
 def finish_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +147,15 @@ def csr_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS arcs, count(*) FILTER (src = dst) AS loops, count(*) FILTER (w < 0) AS bad_weights, (SELECT count(*) FROM (SELECT src AS v FROM raw UNION ALL SELECT dst FROM raw) WHERE v >= 50) AS loose_ends,
 (SELECT count(*) FROM (SELECT src, dst FROM raw GROUP BY src, dst HAVING count(*) > 1)) AS doubled FROM raw""")
 def csr_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0")
+    return order_violations(spark, table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0"))
+
+
+@query()
+def csr_validate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_violations(spark, table(spark, sf_dir, "orders"))
+
+
+def order_violations(spark: SparkSession, orders: DataFrame) -> DataFrame:
     raw = orders.select((F.col("o_custkey") % 50).alias("src"), (F.col("o_orderkey") % 60).alias("dst"), F.when(F.col("o_orderkey") % 11 == 0, -1.0).otherwise(F.col("o_totalprice")).alias("w"))
     return graphs.violations(spark.range(50).select(F.col("id").alias("v")), raw)
 
