@@ -1,9 +1,9 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join by MinHash banding with exact verification.
 
 A text's set is that of the hashes of all runs of WORDS lower-cased words between white space (of all its words if
-it has fewer). Texts of equal sets are one class of copies and are searched once. Each of TREES prefix trees sorts
-the classes by a sequence of MinHash values; the matched prefix is shortened from DEEPEST levels until a pair just
-at the threshold shares a prefix in some tree with probability RECALL. Classes under a common prefix are linked
+it has fewer). Texts of equal sets are one class of copies and are searched once. Each of TREES bands
+hashes a prefix of a sequence of MinHash values; its length, the same for all texts, is the most of DEEPEST with which
+a pair just at the threshold shares a prefix in some band with probability RECALL: fixed banding, not an LSH forest. Classes under a common prefix are linked
 to its least one, the links' components are the candidate clusters, and inside a cluster all pairs are compared
 exactly, in blocks of BLOCK classes: a task holds two blocks at most, counts links by products of 0/1 matrices and
 puts out a number per class and a spanning forest, never pairs.
