@@ -42,6 +42,30 @@ def test_recall_and_scores(spark, monkeypatch):
     assert [v for v, _ in got[alike]] == [v for v, _ in want[alike]]
 
 
+def test_parts_inside_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS_A_PART", 100)
+    monkeypatch.setattr(ann, "MOST_PARTS", 10)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 8)
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(60, 16))[rng.integers(0, 60, 6000)] + 0.4 * rng.normal(size=(6000, 16))).astype(np.float32).astype(float)
+    x[1000:1500] = x[5]
+    ids = np.arange(6000)
+    want, got = brute(ids, x, 10), search(frame(spark, ids, x))
+    assert want.keys() == got.keys()
+    assert np.mean([np.allclose([s for _, s in got[q]], [s for _, s in want[q]]) or len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.9
+
+
+def test_every_row_twelve_times_and_clashing_columns(spark):
+    """Recall over the table's own queries, each row twelve times, with columns named like the operator's own."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 12)).astype(np.float32).astype(float)
+    ids = np.arange(900)
+    df = frame(spark, ids.repeat(12), x.repeat(12, axis=0)).selectExpr("*", "1 as leaf", "2 as block", "3 as round", "'q' as query_id", "0.5 as score", "7 as rank", "vec_id as parts", "embedding as vector")
+    want, got = brute(ids, x, 10), search(df)
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 10 for q in want]) >= 0.9
+    assert all(len(got[q]) == 10 for q in want)
+
+
 def test_repeated_rows(spark):
     rng = np.random.default_rng(4)
     x = np.round(rng.normal(size=(60, 8)), 3).astype(np.float32).astype(float)

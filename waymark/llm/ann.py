@@ -6,7 +6,12 @@ vector's neighbours. Every row is indexed in its likeliest part; a query is rout
 whose rows are ranked by exact Euclidean distance in double precision. How many parts a query visits is measured
 on sample queries: the fewest with which recall reaches TARGET.
 
-Parts are dealt out in blocks of rows and blocks of queries, so no part and no common vector gathers in one task.
+One network tells at most MOST_PARTS parts apart. Where ROWS_A_PART asks for more, every part is cut and routed in the
+same way once more, by a network of its own that is fitted on a bounded sample of its rows, so parts stay small in
+tables a thousand times larger.
+
+Parts are dealt out in blocks of rows and blocks of queries, so no part and no common vector gathers in one task; a
+block of rows is copied only for as many blocks of queries as visit its part.
 
 Defined cases: null, zero or non-finite vectors, and vectors of another length than the most of the sample, take
 no part; rows of one vec_id count once, with the nearest; null vec_id takes no part; extra columns are ignored; an
@@ -15,6 +20,7 @@ empty table gives an empty result. Fewer candidates than k: all of them.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -161,15 +167,68 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()) if len(column) else np.zeros((0, 0))
 
 
-def placed(rows: DataFrame, router: Router, probes: int) -> DataFrame:
-    """rows with `parts`: the likeliest parts, first the likeliest."""
-
-    @F.pandas_udf("array<int>")
+@dataclass
+class Index:
+    """Routes to parts, and inside them to their parts where there are `inner` routers. A leaf is part * MOST_PARTS + inner part."""
+
+    router: Router
+    inner: dict[int, Router]
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        out = self.router.logits(x).argmax(axis=1) * MOST_PARTS
+        for part in np.unique(out // MOST_PARTS).tolist() if self.inner else ():
+            at = np.flatnonzero(out // MOST_PARTS == part)
+            out[at] += self.inner[part].logits(x[at]).argmax(axis=1) if part in self.inner else 0
+        return out
+
+    def visits(self, x: np.ndarray, ids: dict[int, int], k: int) -> list[list[int]]:
+        """For each query the leaves to visit: the likeliest, and further ones until more than k vec_ids are there."""
+        order = np.argsort(-self.router.logits(x), axis=1, kind="stable")
+        inside = {part: np.argsort(-r.logits(x), axis=1, kind="stable") for part, r in self.inner.items() if (order[:, : self.router.probes] == part).any()}
+        out = []
+        for i, parts in enumerate(order.tolist()):
+            chosen, there = [], 0
+            for rank, part in enumerate(parts):
+                inner = self.inner.get(part)
+                if rank >= self.router.probes and there > k:
+                    break
+                subs = [0] if inner is None else inside[part][i].tolist() if part in inside else np.argsort(-inner.logits(x[i : i + 1])[0]).tolist()
+                for place, sub in enumerate(subs):
+                    if inner is not None and place >= inner.probes and there > k:
+                        break
+                    leaf = part * MOST_PARTS + sub
+                    if ids.get(leaf):
+                        chosen.append(leaf)
+                        there += ids[leaf]
+            out.append(chosen)
+        return out
+
+
+def inner_routers(rows: DataFrame, parts: int, k: int, target: float) -> dict[int, Router]:
+    """rows(leaf, vec_id, vector) -> a router for every part, fitted on at most MOST_SAMPLED of its rows."""
+    scale = 2**40
+    sizes = rows.groupBy("leaf").agg(F.count("*").alias("n"))
+    hashed = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(scale))
+    some = rows.join(F.broadcast(sizes), "leaf").filter(hashed < F.lit(1.1 * MOST_SAMPLED * scale) / F.col("n"))  # a row a part
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("vec_id").head(MOST_SAMPLED)
+        router = learn(matrix(frame["vector"]), parts, k, target)
+        return pd.DataFrame({"leaf": [int(frame["leaf"].iloc[0])], "router": [pickle.dumps(router)]})
+
+    found = some.groupBy("leaf").applyInPandas(fit, "leaf long, router binary").collect()  # MOST_PARTS at most
+    return {r["leaf"] // MOST_PARTS: pickle.loads(r["router"]) for r in found}
+
+
+def placed(rows: DataFrame, index: Index) -> DataFrame:
+    """rows with `leaf`, the likeliest."""
+
+    @F.pandas_udf("long")
     def likeliest(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in vectors:
-            yield pd.Series(list(np.argsort(-router.logits(matrix(part)), axis=1, kind="stable")[:, :probes].astype(np.int32)))
+            yield pd.Series(index.leaf(matrix(part)) if len(part) else np.zeros(0, np.int64))
 
-    return rows.withColumn("parts", likeliest("vector"))
+    return rows.withColumn("leaf", likeliest("vector"))
 
 
 def rank_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -215,23 +274,30 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, target: float = TAR
     rows = stage(usable(vectors, dim).dropDuplicates(["vec_id", "vector"]), "vectors")
     total = rows.count()
     parts = int(np.clip(total // ROWS_A_PART, LEAST_PARTS, MOST_PARTS))
-    router = learn(matrix(sample["vector"][sample["vector"].map(len) == dim]), parts, k, target)
-    index = placed(rows, router, 1).select("vec_id", "vector", F.col("parts")[0].alias("part"))
-    counted = index.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).collect()  # a row a part
-    sizes = {r["part"]: r["ids"] for r in counted}
-    blocks = {r["part"]: -(-r["n"] // BLOCK_ROWS) for r in counted}
-    wanted = placed(rows.filter(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id"), router, len(router.b2))
-    table = lambda of: F.create_map(*(F.lit(int(x)) for pair in of.items() for x in pair))
-    there = F.transform("parts", lambda p: F.coalesce(table(sizes)[p], F.lit(0)).cast("long"))
-    before = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.aggregate(F.slice(there, 1, i - 1), F.lit(0).cast("long"), lambda a, b: a + b))
-    # the likeliest parts, and further ones until more than k rows are there
-    visited = F.filter(F.transform("parts", lambda p, i: F.when((i < router.probes) | (F.element_at(before, (i + 1).cast("int")) <= k), p)), lambda p: p.isNotNull() & F.coalesce(table(blocks)[p] > 0, F.lit(False)))
-    rounds = max(1, -(-(total // every + 1) // BLOCK_QUERIES))
-    queries = wanted.select("query_id", "vector", F.explode(visited).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(rounds)).cast("int").alias("round"))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), table(blocks)[F.col("part")] - 1)))
-    dealt = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), table(blocks)[F.col("part")].cast("long")).cast("int")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    keys = ["part", "block", "round"]
-    near = queries.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(lambda q, x: rank_block(q, x, k), "query_id long, vec_id long, score double")
+    wanted = total // ROWS_A_PART
+    inner = -(-wanted // MOST_PARTS) if wanted > MOST_PARTS else 1
+    target = target if inner == 1 else target**0.5
+    index = Index(learn(matrix(sample["vector"][sample["vector"].map(len) == dim]), parts, k, target), {})
+    if inner > 1:
+        index.inner = inner_routers(placed(rows, index), min(inner, MOST_PARTS), k, target)
+    leaves = stage(placed(rows, index), "leaves")
+    counted = leaves.groupBy("leaf").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).collect()  # a row a leaf
+    ids, blocks = {r["leaf"]: r["ids"] for r in counted}, {r["leaf"]: -(-r["n"] // BLOCK_ROWS) for r in counted}
+
+    @F.pandas_udf("array<long>")
+    def visited(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in vectors:
+            yield pd.Series(index.visits(matrix(part), ids, k) if len(part) else [])
+
+    visits = stage(rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector", F.explode(visited("vector")).alias("leaf")), "visits")
+    asked = {r["leaf"]: -(-r["n"] // BLOCK_QUERIES) for r in visits.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    plan = [(leaf, n, asked[leaf]) for leaf, n in blocks.items() if leaf in asked]  # a row a leaf, MOST_PARTS squared at most
+    by_leaf = lambda df: df.join(F.broadcast(spark.createDataFrame(plan, "leaf long, blocks int, rounds int")), "leaf")
+    dealt = lambda of, by: F.pmod(F.xxhash64(of), F.col(by).cast("long")).cast("int")
+    queries = by_leaf(visits).withColumn("round", dealt("query_id", "rounds")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    there = by_leaf(leaves).withColumn("block", dealt("vec_id", "blocks")).withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
+    keys = ["leaf", "block", "round"]
+    near = queries.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(lambda q, x: rank_block(q, x, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
