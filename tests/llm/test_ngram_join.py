@@ -84,10 +84,35 @@ def test_one_stays_where_ids_are_null_or_shared(spark):
     assert kept == Counter([(None, text(0)), (6, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (8, "")])
 
 
-def test_depth_shortens_until_the_recall():
-    depth = ngram_join.depth_for()
-    meet = lambda k: 1 - (1 - 0.8**k) ** ngram_join.TREES
-    assert meet(depth) >= ngram_join.RECALL > meet(depth + 1)
+def test_prefixes_shorten_until_the_measured_recall():
+    none, many = np.zeros(ngram_join.SIMILARITIES, np.int64), np.zeros(ngram_join.SIMILARITIES, np.int64)
+    many[-1] = 10**6
+    # without links only the threshold's own chance counts
+    assert [ngram_join.measured_recall(none, d) >= ngram_join.RECALL for d in (6, 5, 4)] == [False, False, True]
+    assert ngram_join.measured_recall(many, 6) >= ngram_join.RECALL
+    assert np.isclose(ngram_join.measured_recall(none, 5), 1 - (1 - 0.8**5) ** ngram_join.TREES)
+
+
+def test_labels_hold_minhash_values_in_order():
+    values = np.sort(np.random.default_rng(1).integers(0, 2**64, 300, np.uint64))
+    high, low = ngram_join.labels(values)
+    for tree in (0, 7, 15):
+        for level in range(ngram_join.DEEPEST):
+            at = level * ngram_join.TREES + tree
+            least = min((int(v) ^ int(ngram_join.XORS[at])) * int(ngram_join.ODDS[at]) % 2**64 for v in values)
+            word = int((high, low)[level // 4][tree]) >> (16 * (3 - level % 4)) & 0xFFFF
+            assert word == int(ngram_join.mixed(np.array([least], np.uint64))[0]) >> 48
+
+
+def test_links_between_merging_clusters(spark, monkeypatch):
+    """Links of all similarities, found over several lengths of prefixes."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    compare(spark.createDataFrame([(g * 1000 + i, t) for g in range(6) for i, t in near_copies(14, 90, seed=g)], "doc_id long, text string"))
+
+
+def test_all_ids_null(spark):
+    rows = [(None, t) for _, t in near_copies(30, 80)] + [(None, "one"), (None, "one"), (None, None)]
+    compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
 
 
 def test_components(spark):

@@ -19,9 +19,12 @@ def star(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges(u, v) -> (id, root) for every id in an edge; root is the component's least id.
 
-    Large-star and small-star steps in turn, each staged in the shared folder, until nothing changes.
+    Large-star and small-star steps in turn, each staged in the shared folder, until nothing changes. Repeated edges
+    count once, an edge from an id to itself adds nothing, a null id takes no part; no edges, no rows.
     """
     current = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
+    if current.isEmpty():
+        return current.select(F.col("u").alias("id"), F.col("v").alias("root"))
     mark = None
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
