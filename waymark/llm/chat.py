@@ -9,7 +9,7 @@ For a table of conversations whose roles are known, transcripts() writes the raw
 one of the STYLES of marking speakers, with some turns' markers left out, so that recovery can be measured.
 
 Conversations are taken in segments of SEGMENT turn numbers, each parsed alone: no conversation of any length
-gathers in one task. Defined cases: identical rows count once; null text is the empty text; a null role, or one
+gathers in one task. Defined cases: identical rows are turns of their own; null text is the empty text; a null role, or one
 other than system, user and assistant, is written without a marker and not counted as right or wrong; a null turn
 stands first; a null conv_id is a conversation; extra columns are ignored; empty tables give an empty result.
 """
@@ -140,7 +140,7 @@ def render(turns: list[tuple[str, str]]) -> str:
 
 def segments(conversations: DataFrame) -> DataFrame:
     """conv_id, segment, turns: an ordered array for each segment of a conversation."""
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text_column().alias("text")).distinct()
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text_column().alias("text"))
     segment = F.floor(F.coalesce("turn", F.lit(0)) / SEGMENT).cast("long")
     return rows.groupBy("conv_id", segment.alias("segment")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
