@@ -35,10 +35,10 @@ IDENTIFIERS = {
     "BSD": ["BSD-2-Clause", "BSD-3-Clause"], "MPL-2.0": ["MPL-2.0"], "CC-BY-NC-4.0": ["CC-BY-NC-4.0"], "CC-BY-SA-4.0": ["CC-BY-SA-4.0"], "CC-BY-4.0": ["CC-BY-4.0"], "CC0": ["CC0-1.0"],
     "ISC": ["ISC"], "EPL-2.0": ["EPL-2.0"], "BSL-1.0": ["BSL-1.0"], "Unlicense": ["Unlicense"], "Zlib": ["Zlib"],
 }
-#: Sentences of notices, each with the words that decide; the first of them stands in no other family's.
+#: Sentences of notices, each with the words that decide, the rarest first.
 NOTICES = {
     "MIT": [
-        ("Released under the MIT License.", "mit"), ("Licensed under the MIT license", "mit"), ("This project is licensed under the terms of the MIT license", "mit"), ("The MIT License (MIT)", "mit"),
+        ("Released under the MIT License.", "license mit"), ("Licensed under the MIT license", "license mit"), ("This project is licensed under the terms of the MIT license", "license mit"), ("The MIT License (MIT)", "license mit"),
         ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "hereby charge obtaining"),
         ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "substantial portions"),
     ],
@@ -69,13 +69,13 @@ NOTICES = {
     "MPL-2.0": [("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public"), ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0", "mpl")],
     "CC-BY-NC-4.0": [("Licensed under CC BY-NC 4.0.", "by-nc cc"), ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "attribution-noncommercial creative")],
     "CC-BY-SA-4.0": [("Licensed under CC BY-SA 4.0.", "by-sa cc"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "attribution-sharealike creative")],
-    "CC-BY-4.0": [("Licensed under CC BY 4.0.", "cc by 4.0"), ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "creative attribution")],
+    "CC-BY-4.0": [("Licensed under CC BY 4.0.", "4.0 cc by"), ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "attribution creative")],
     "CC0": [("To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.", "cc0 waived"), ("This work is dedicated to the public domain, CC0 1.0 Universal license.", "cc0 1.0")],
-    "ISC": [("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "hereby fee"), ("Licensed under the ISC License", "isc")],
+    "ISC": [("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "hereby fee"), ("Licensed under the ISC License", "license isc")],
     "EPL-2.0": [("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "eclipse public")],
-    "BSL-1.0": [("Distributed under the Boost Software License, Version 1.0.", "boost license")],
+    "BSL-1.0": [("Distributed under the Boost Software License, Version 1.0.", "license boost")],
     "Unlicense": [("This is free and unencumbered software released into the public domain.", "unencumbered")],
-    "Zlib": [("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "as-is liable authors"), ("Licensed under the zlib license", "zlib")],
+    "Zlib": [("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "as-is liable authors"), ("Licensed under the zlib license", "license zlib")],
 }
 #: Prose with the same words that states no licence.
 PROSE = [
@@ -87,6 +87,8 @@ PROSE = [
     "Portions of the text were substantial and without error", "We retain the right to reproduce this picture", "The Mozilla team spoke in public about the browser", "No part of this book may be copied without written permission of the publisher", "You must accept the license agreement before you install this program",
     "The law was waived for the author of the work", "Terms of use apply to this site and to the public pages", "The library is free and open at noon for all persons", "The creative director gave the attribution to her team", "An unencumbered estate was sold with a zlib of the key", "The compression library zlib is used by many programs",
 ]
+#: Short notices, and the word that makes a name in them one of a licence.
+SHORT = {"SPDX-License-Identifier: {}": "spdx-license-identifier", "License: {}": "license", "{} License": "license", "Licensed under {}": "licensed"}
 TOKEN = r"[a-z0-9]+(?:[.\-+][a-z0-9]+)*"
 UNKNOWN = "unknown"
 SPANS = (1, 2, 4)
@@ -125,7 +127,8 @@ def templates() -> list[Template]:
     out = [Template(f, text, tuple(words.split())) for f, notices in NOTICES.items() for text, words in notices]
     for family, names in IDENTIFIERS.items():
         for name in names:
-            out += [Template(family, form.format(name), (name.lower(),)) for form in ("SPDX-License-Identifier: {}", "License: {}", "{} License", "Licensed under {}")]
+            rare = any(c.isdigit() for c in name)  # other names are words of some language, and need the word beside them
+            out += [Template(family, form.format(name), (name.lower(),) if rare else (word, name.lower())) for form, word in SHORT.items()]
             out += [Template(family, name, (name.lower(),))] if "-" in name or name.startswith(("GPL", "LGPL", "AGPL")) else []
     return out
 
