@@ -168,3 +168,62 @@ def test_scene(spark):
     r = scene.camera(vertices, 100, 80).first()
     assert r["scale"] == 50 and r["radius"] == 4
     assert scene.grid(vertices, 2).agg(F.sum("n")).first()[0] == 3
+
+
+def test_rounds_and_one_task_agree(spark, monkeypatch):
+    """Distances, bounded distances, hops and labels by bucketed rounds and over arrays."""
+    edges = spark.createDataFrame(generators.build("clusters", 200, 5)[1], "src long, dst long, w double")
+    whole = spark.createDataFrame([(a, b, int(w) % 3) for a, b, w in generators.build("sparse", 150, 2)[1]], "src long, dst long, w long")
+
+    def found():
+        out = []
+        for e in (edges, whole):
+            out += [sorted(map(tuple, sssp.distances(e, 0).collect())), sorted(map(tuple, sssp.distances(e, 0, 40).collect())), sorted(map(tuple, sssp.reachable(e, 0).collect()))]
+            out.append(sorted(tuple(r) for r in sssp.labels(e, 0).select("v", "label.length", "label.n_edges", "label.curr", "label.pred").collect()))
+        return out
+
+    small = found()
+    monkeypatch.setattr(sssp, "MOST_LOCAL", 0)
+    monkeypatch.setattr(sssp, "MOST_BROADCAST", 5)
+    assert found() == small
+
+
+def test_rounds_exchange_neither_arcs_nor_state(spark):
+    arcs, name = sssp.bucketed(spark.range(1000).selectExpr("id as src", "id % 7 as dst", "1 as w"), "src")
+    best, other = sssp.bucketed(spark.range(1000).selectExpr("id as v", "id as dist"), "v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = arcs.join(spark.range(50).selectExpr("id as src", "id as dist"), "src").groupBy("dst").count().withColumnRenamed("dst", "v").join(best, "v")
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Bucketed: true") == 2 and text.count("Exchange hashpartitioning") == 2  # the frontier and the candidates
+    sssp.dropped(arcs, name)
+    sssp.dropped(best, other)
+
+
+def test_path_by_doubling(spark):
+    preds = spark.createDataFrame([(0, -1), *((i, i - 1) for i in range(1, 40)), (50, 51), (51, 50)], "v long, pred long")
+    assert sssp.gold_path(preds, 0, 37) == list(range(38))
+    assert sssp.gold_path(preds, 0, 0) == [0] and sssp.gold_path(preds, 60, 5) == []
+    with pytest.raises(ValueError):
+        sssp.gold_path(preds, 0, 50)
+
+
+def test_predecessors_come_back_from_rings(spark):
+    edges = spark.createDataFrame([(a, b, float(w)) for a, b, w in generators.build("clusters", 40, 7)[1]], "src long, dst long, w double")
+    arcs, owners = reduce.reduced(edges, 5)
+    start = owners.filter("v = 0").agg(F.min("copy")).first()[0]
+    back = {r["v"]: (r["dist"], r["pred"]) for r in reduce.mapped_back_predecessors(sssp.labels(arcs, start), owners).collect()}
+    dist = {r["v"]: r["dist"] for r in sssp.distances(edges, 0).collect()}
+    weight = {(r["src"], r["dst"]): r["w"] for r in edges.collect()}
+    assert {v: d for v, (d, _) in back.items()} == dist and back[0][1] == -1
+    assert all(dist[p] + weight[p, v] == d for v, (d, p) in back.items() if v)
+
+
+def test_what_names_no_vertex_or_arc_passes_the_way_back(spark):
+    rows = spark.createDataFrame([(0, 0, 1, 4, -1), (0, 1, 1, 5, -1), (0, 2, 0, -1, 8), (0, 3, 0, -1, 9), (0, 4, 2, -1, -1)], "lane int, idx long, kind int, vertex int, edge int")
+    owners = spark.createDataFrame([(4, 1), (5, 1)], "copy int, orig int")
+    assert sorted((r["idx"], r["orig"]) for r in reduce.unmapped(rows, owners).collect()) == [(0, 1), (2, -1), (3, -1), (4, -1)]
+    origins = spark.createDataFrame([(8, 3), (9, None)], "edge int, orig_edge int")
+    assert sorted((r["idx"], r["edge"]) for r in reduce.unmapped_arcs(rows, origins).collect()) == [(0, -1), (1, -1), (2, 3), (4, -1)]

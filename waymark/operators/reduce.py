@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.operators.sssp import distances
 from waymark.sources.graphs import prefix_sums
+from waymark.staging import stage
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -39,17 +41,51 @@ def mapped_back(dist: DataFrame, owners: DataFrame) -> DataFrame:
     return dist.withColumnRenamed("v", "copy").join(owners, "copy").groupBy("v").agg(F.min("dist").alias("dist"))
 
 
-def distances_by_reduction(edges: DataFrame, source: int, delta: int) -> DataFrame:
-    """Distances of a small graph through its reduced form; rings make paths long, so one kernel runs them."""
-    from waymark.plans.lanes import kernel_distances
+def mapped_back_predecessors(labels: DataFrame, owners: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """labels(v, label) of copies -> (v, dist, pred): each original's copy of least label, and the owner of the first
+    copy up its predecessors that belongs to another vertex (-1 if there is none)."""
+    owned = owners.withColumnsRenamed({"copy": "c", "v": "owner"})
+    known = stage(labels.select(F.col("v").alias("c"), "label").join(owned, "c"), "copies")
+    best = known.groupBy("owner").agg(F.min_by(F.struct("c", "label"), "label").alias("b")).select("owner", F.col("b.label.length").alias("dist"), F.col("b.label.pred").alias("up"))
+    done, open_ = None, stage(best, "open")
+    upward = known.select(F.col("c").alias("up"), F.col("owner").alias("of"), F.col("label.pred").alias("next"))
+    for _ in range(most_rounds):
+        met = open_.join(upward, "up", "left")
+        left = F.col("of").isNull() | (F.col("of") != F.col("owner"))
+        found = met.filter(left).select(F.col("owner").alias("v"), "dist", F.coalesce("of", F.lit(-1)).cast("long").alias("pred"))
+        done = stage(found if done is None else done.unionByName(found), "done")
+        open_ = stage(met.filter(~left).select("owner", "dist", F.col("next").alias("up")), "open")
+        if not open_.head(1):
+            return done
+    raise ValueError("predecessors stay inside a ring")
+
 
+def distances_by_reduction(edges: DataFrame, source: int, delta: int) -> DataFrame:
+    """Distances through the reduced form. All copies in a ring are at distance 0 from each other, so rounds run over
+    rings as wholes: arcs between copies, joined to their rings."""
     arcs, owners = reduced(edges, delta)
-    start = owners.filter(F.col("v") == source).agg(F.min("copy")).first()[0]
-    return mapped_back(kernel_distances(arcs, start), owners)
+    owned = stage(owners, "owners")
+    tails, heads = owned.withColumnsRenamed({"copy": "src", "v": "a"}), owned.withColumnsRenamed({"copy": "dst", "v": "b"})
+    rings = arcs.join(tails, "src").join(heads, "dst").filter("a != b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("w").alias("w"))
+    of_ring = distances(rings, source)
+    copies = owned.join(of_ring, "v").select(F.col("copy").alias("v"), "dist")
+    return mapped_back(copies, owned)
 
 
 def unmapped(rows: DataFrame, owners: DataFrame) -> DataFrame:
-    """Trace rows on copies (vertex = copy) turned to originals: the first of each lane, kind and original stays."""
-    met = rows.join(owners.withColumnRenamed("copy", "vertex"), "vertex")
+    """Trace rows on copies (vertex = copy) turned to originals: the first of each lane, kind and original stays; rows
+    that name no vertex pass."""
+    named = rows.filter(F.col("vertex") >= 0)
+    met = named.join(owners.withColumnRenamed("copy", "vertex"), "vertex")
     first = met.groupBy("lane", "kind", "orig").agg(F.min("idx").alias("idx"))
-    return met.join(first, ["lane", "kind", "orig", "idx"])
+    kept = met.join(first, ["lane", "kind", "orig", "idx"])
+    rest = rows.filter(F.col("vertex") < 0).withColumn("orig", F.lit(-1).cast(dict(owners.dtypes)["orig"]))
+    return kept.unionByName(rest.select(*kept.columns))
+
+
+def unmapped_arcs(rows: DataFrame, origins: DataFrame) -> DataFrame:
+    """Trace rows on reduced arcs with the original arc's number: origins(edge, orig_edge), null for a ring's arc, whose
+    rows go; rows that name no arc pass."""
+    named = rows.filter(F.col("edge") >= 0).join(origins, "edge").filter("orig_edge is not null")
+    named = named.withColumn("edge", F.col("orig_edge").cast(dict(rows.dtypes)["edge"])).drop("orig_edge")
+    return named.select(*rows.columns).unionByName(rows.filter(F.col("edge") < 0))

@@ -1,21 +1,41 @@
 """Shortest paths as delta iterations over DataFrames.
 
 Each round joins only the vertices improved in the round before with the arcs, keeps the least candidate per head
-(a partial aggregate before the exchange) and those that improve. Arcs are staged once, dealt by source, so that a
-round moves the frontier and the candidates alone. A frontier is broadcast if it is counted small.
+(a partial aggregate before the exchange) and those that improve. Arcs and the best values so far are tables bucketed
+by vertex in the shared folder: a round exchanges the frontier and the candidates, and neither arcs nor state. A
+frontier is broadcast if it is counted small. A graph that is counted small as a whole (MOST_LOCAL arcs, about 100 MB)
+is solved by the same rounds in one task, over arrays; beyond that size nothing gathers.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.staging import discard, stage
+from waymark.staging import discard, shared_dir, stage
 
 #: A frontier of up to this many rows (about 40 bytes each) is broadcast.
 MOST_BROADCAST = 200_000
+#: A graph of up to this many arcs (24 bytes each) is solved in one task.
+MOST_LOCAL = 4_000_000
+
+
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """df as a table dealt by key into as many buckets as an exchange has partitions, and the table's name."""
+    spark, name = df.sparkSession, f"waymark_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name), name
+
+
+def dropped(df: DataFrame, name: str) -> None:
+    discard(df)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def relaxed(edges: DataFrame, start: DataFrame, candidate: Column, key: str, admit: Callable[[Column], Column] | None = None, most_rounds: int | None = None) -> DataFrame:
@@ -23,9 +43,9 @@ def relaxed(edges: DataFrame, start: DataFrame, candidate: Column, key: str, adm
 
     best may be a number or a struct; both compare. admit: a condition on candidates.
     """
-    arcs = stage(edges.repartition("src"), "arcs")
-    best = stage(start.select("v", key), "best")
-    frontier, n, rounds = best, best.count(), 0
+    arcs, arcs_name = bucketed(edges, "src")
+    best, best_name = bucketed(start.select("v", key), "v")
+    frontier, n, rounds = stage(best, "frontier"), best.count(), 0
     while n and (most_rounds is None or rounds < most_rounds):
         near = F.broadcast(frontier) if n <= MOST_BROADCAST else frontier
         made = arcs.join(near.withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v"), candidate.alias("new"))
@@ -36,19 +56,88 @@ def relaxed(edges: DataFrame, start: DataFrame, candidate: Column, key: str, adm
         following = stage(better, "frontier")
         n = following.count()
         if n:
-            merged = stage(best.unionByName(following).groupBy("v").agg(F.min(key).alias(key)), "best")
-            if rounds:
-                discard(frontier)
-            discard(best)
-            best, frontier = merged, following
+            changed = following.withColumnRenamed(key, "new")
+            merged, merged_name = bucketed(best.join(changed, "v", "full").select("v", F.coalesce("new", key).alias(key)), "v")
+            discard(frontier)
+            dropped(best, best_name)
+            best, best_name, frontier = merged, merged_name, following
         rounds += 1
-    discard(arcs)
+    dropped(arcs, arcs_name)
     return best
 
 
+class Local:
+    """The arcs of a small graph in order of their tails, vertices numbered in order."""
+
+    def __init__(self, frame: pd.DataFrame, source: int):
+        self.ids = np.unique(np.concatenate([frame["src"], frame["dst"], [source]]).astype(np.int64))
+        src, dst = np.searchsorted(self.ids, frame["src"]), np.searchsorted(self.ids, frame["dst"])
+        order = np.argsort(src, kind="stable")
+        self.dst, self.w = dst[order], frame["w"].to_numpy()[order]
+        self.first = np.searchsorted(src[order], np.arange(len(self.ids) + 1))
+        self.source = int(np.searchsorted(self.ids, source))
+
+    def out_of(self, frontier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the frontier's arcs, and their tails."""
+        n = self.first[frontier + 1] - self.first[frontier]
+        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[frontier], n)
+        return places, np.repeat(frontier, n)
+
+    def lengths(self, step: Callable[[np.ndarray, np.ndarray], np.ndarray], zero: np.ndarray, bound: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, least lengths) of the vertices reached; step(length, w) is the length behind an arc."""
+        best, reached = np.full(len(self.ids), zero), np.zeros(len(self.ids), bool)
+        reached[self.source] = True
+        frontier = np.array([self.source])
+        while len(frontier):
+            arcs, tails = self.out_of(frontier)
+            heads, new = self.dst[arcs], step(best[tails], self.w[arcs])
+            if bound is not None:
+                heads, new = heads[new < bound], new[new < bound]
+            order = np.lexsort((new, heads))
+            first = np.concatenate([[True], np.diff(heads[order]) != 0])[: len(order)]
+            heads, new = heads[order][first], new[order][first]
+            better = ~reached[heads] | (new < best[heads])
+            frontier = heads[better]
+            best[frontier], reached[frontier] = new[better], True
+        return self.ids[reached], best[reached]
+
+    def labels(self) -> pd.DataFrame:
+        """v and the least (length, n_edges, pred) of the vertices reached."""
+        n = len(self.ids)
+        length, count, pred, reached = np.full(n, np.zeros(1, self.w.dtype)), np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, bool)
+        reached[self.source] = True
+        frontier = np.array([self.source])
+        while len(frontier):
+            arcs, tails = self.out_of(frontier)
+            heads, new, hops = self.dst[arcs], length[tails] + self.w[arcs], count[tails] + 1
+            order = np.lexsort((tails, hops, new, heads))
+            order = order[np.concatenate([[True], np.diff(heads[order]) != 0])[: len(order)]]
+            heads, new, hops, tails = heads[order], new[order], hops[order], tails[order]
+            same = new == length[heads]
+            better = ~reached[heads] | (new < length[heads]) | (same & ((hops < count[heads]) | ((hops == count[heads]) & (tails < pred[heads]))))
+            frontier = heads[better]
+            length[frontier], count[frontier], pred[frontier], reached[frontier] = new[better], hops[better], tails[better], True
+        parents = np.where(pred >= 0, self.ids[np.maximum(pred, 0)], -1)
+        return pd.DataFrame({"v": self.ids, "length": length, "n_edges": count, "pred": parents})[reached]
+
+
+def solved(edges: DataFrame, source: int, schema: str, solve: Callable[[Local], pd.DataFrame]) -> DataFrame | None:
+    """The graph solved in one task, if it is counted small and its numbers are plain; None otherwise."""
+    if dict(edges.dtypes)["w"] not in ("bigint", "double", "int"):
+        return None
+    arcs = stage(edges.select("src", "dst", "w"), "arcs")
+    if arcs.count() > MOST_LOCAL:
+        return None
+    whole = arcs.groupBy().applyInPandas(lambda frame: solve(Local(frame, source)), schema)
+    return whole if arcs.head(1) else None
+
+
 def distances(edges: DataFrame, source: int, bound: float | None = None) -> DataFrame:
     """(v, dist) of every vertex reached; with a bound, only over candidates below it."""
     kind = dict(edges.dtypes)["w"]
+    small = solved(edges, source, f"v long, dist {kind}", lambda g: pd.DataFrame(dict(zip(("v", "dist"), g.lengths(lambda d, w: d + w, np.zeros(1, g.w.dtype), bound), strict=True))))
+    if small is not None:
+        return small
     start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("v"), F.lit(0).cast(kind).alias("dist"))
     admit = None if bound is None else (lambda c: c < F.lit(bound))
     return relaxed(edges, start, F.col("dist") + F.col("w"), "dist", admit)
@@ -61,12 +150,19 @@ def label(length: Column, n_edges: Column, curr: Column, pred: Column) -> Column
 def labels(edges: DataFrame, source: int) -> DataFrame:
     """(v, label) by the order of (length, number of arcs, vertex, predecessor); -1 stands for no predecessor."""
     kind = dict(edges.dtypes)["w"]
+    small = solved(edges, source, f"v long, length {kind}, n_edges long, pred long", Local.labels)
+    if small is not None:
+        return small.select("v", label(F.col("length"), F.col("n_edges"), F.col("v"), F.col("pred")).alias("label"))
     start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("v"), label(F.lit(0).cast(kind), F.lit(0), F.lit(source), F.lit(-1)).alias("label"))
     return relaxed(edges, start, label(F.col("label.length") + F.col("w"), F.col("label.n_edges") + 1, F.col("dst"), F.col("src")), "label")
 
 
 def reachable(edges: DataFrame, source: int) -> DataFrame:
     """(v, hops) of every vertex reached: its least number of arcs."""
+    edges = edges.withColumn("w", F.lit(1).cast("long"))
+    small = solved(edges, source, "v long, hops long", lambda g: pd.DataFrame(dict(zip(("v", "hops"), g.lengths(lambda d, w: d + w, np.zeros(1, np.int64)), strict=True))))
+    if small is not None:
+        return small
     start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("v"), F.lit(0).cast("long").alias("hops"))
     return relaxed(edges, start, F.col("hops") + 1, "hops")
 
@@ -87,24 +183,34 @@ def finish(reached: DataFrame, vertices: DataFrame, source: int) -> DataFrame:
     return others.agg(F.max_by(F.struct("v", far.alias("d2")), F.struct(far, -F.col("v"))).alias("f")).select("f.v", "f.d2").filter("v is not null")
 
 
-def gold_path(preds: DataFrame, source: int, target: int) -> list[int]:
-    """Vertices from source to target by predecessors; empty if they don't meet. A row per step reaches the driver."""
-    preds = stage(preds, "preds")
-    path, seen = [target], {target}
-    while path[-1] != source:
-        row = preds.filter(F.col("v") == path[-1]).select("pred").first()
-        if row is None or row["pred"] is None or row["pred"] < 0:
-            return []
-        if row["pred"] in seen:
+def path_tree(preds: DataFrame, source: int, target: int) -> DataFrame:
+    """(step, v) from source to target by predecessors, counted from the target; no rows if they don't meet.
+
+    Doubling: after k rounds every vertex knows its ancestor 2^k steps up, and the part of the path found so far
+    doubles with each; a path of a million steps takes twenty rounds, and only the path's own rows are kept."""
+    up = stage(preds.filter("pred >= 0").select("v", F.col("pred").alias("a")), "up")
+    path = preds.sparkSession.createDataFrame([(0, target)], "step long, v long")
+    size = 1
+    while not path.filter(F.col("v") == source).head(1):
+        ahead = path.join(up, "v").select((F.col("step") + size).alias("step"), F.col("a").alias("v"))
+        found = stage(path.unionByName(ahead), "path")
+        if found.count() < 2 * path.count() and not found.filter(F.col("v") == source).head(1):
+            return found.limit(0)
+        if found.groupBy("v").count().filter("count > 1").head(1):
             raise ValueError("predecessors run in a circle")
-        path.append(row["pred"])
-        seen.add(row["pred"])
-    return path[::-1]
+        path, size = found, 2 * size
+        up = stage(up.alias("x").join(up.alias("y"), F.col("x.a") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.a").alias("a")), "up")
+    end = path.filter(F.col("v") == source).agg(F.min("step")).first()[0]
+    return path.filter(F.col("step") <= end).select((F.lit(end) - F.col("step")).alias("step"), "v")
+
+
+def gold_path(preds: DataFrame, source: int, target: int) -> list[int]:
+    """Vertices from source to target by predecessors; empty if they don't meet."""
+    return [r["v"] for r in path_tree(preds, source, target).orderBy("step").collect()]
 
 
 def path_table(edges: DataFrame, source: int, target: int) -> DataFrame:
     """(step, v, dist) along the least-label path."""
     found = stage(labels(edges, source), "labels")
-    path = gold_path(found.select("v", F.col("label.pred").alias("pred")), source, target)
-    steps = edges.sparkSession.createDataFrame(list(enumerate(path)), "step long, v long")
+    steps = path_tree(found.select("v", F.col("label.pred").alias("pred")), source, target)
     return steps.join(found.select("v", F.col("label.length").alias("dist")), "v").select("step", "v", "dist")

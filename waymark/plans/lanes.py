@@ -48,16 +48,3 @@ def run_lanes(lanes: DataFrame) -> DataFrame:
         return pd.concat(parts)
 
     return lanes.groupBy("run_id", "lane").applyInPandas(lambda frame: traced(frame), TRACE)
-
-
-def kernel_distances(edges: DataFrame, source: int) -> DataFrame:
-    """(v, dist) by one kernel: for graphs that fit one task."""
-    kind = dict(edges.dtypes)["w"]
-
-    def solved(frame: pd.DataFrame) -> pd.DataFrame:
-        n = int(max(frame["src"].max(), frame["dst"].max(), source)) + 1
-        dist = dijkstra.run(Arcs(n, list(zip(frame["src"], frame["dst"], frame["w"], strict=True))), source, Recorder())[0]
-        reached = [(v, d) for v, d in enumerate(dist) if d < INFINITY]
-        return pd.DataFrame(reached, columns=["v", "dist"])
-
-    return edges.select("src", "dst", "w").groupBy().applyInPandas(lambda frame: solved(frame), f"v long, dist {kind}")

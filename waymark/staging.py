@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='waymark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
