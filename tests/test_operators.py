@@ -135,7 +135,7 @@ def test_rankings(spark):
     rows = lambda *w: spark.createDataFrame([(i, f"L{i}", x) for i, x in enumerate(w)], "lane int, label string, work double")
     order = lambda df: [r["lane"] for r in race.ranked(df).orderBy("place").collect()]
     assert order(rows(139608.0, 237827.0)) == [0, 1] and order(rows(48210.0, 31077.0)) == [1, 0] and order(rows(50000.0, 31077.0, 42000.0)) == [1, 2, 0] and order(rows(100.0, 100.9)) == [0, 1]
-    assert race.banner(rows(48210.0, 31077.0)).first()["text"] == "L1 beat L0 by 17,133 comparisons (L1 31,077, L0 48,210)"
+    assert race.banner(rows(48210.0, 31077.0)).first()["text"] == "L1 beat L0 by 17,133 comparisons on this graph. (L0: 48,210; L1: 31,077)"
 
 
 def test_clock():
@@ -160,7 +160,7 @@ def test_sweep_table(spark, tmp_path):
     sweeps.write_table(cells, str(tmp_path / "out"))
     back = spark.read.csv(str(tmp_path / "out"), sep="\t", header=True).collect()
     assert len(back) == 2 and all(len(r["ratio"].split(".")[1]) == 4 for r in back)
-    assert set(sweeps.timed(spark, "maze", 60, 1)) == {"dijkstra", "bounded"}
+    assert set(sweeps.timed(spark, "maze", 60, 1)) == {"dijkstra", "bounded", "forest"}
 
 
 def test_scene(spark):
@@ -227,3 +227,109 @@ def test_what_names_no_vertex_or_arc_passes_the_way_back(spark):
     assert sorted((r["idx"], r["orig"]) for r in reduce.unmapped(rows, owners).collect()) == [(0, 1), (2, -1), (3, -1), (4, -1)]
     origins = spark.createDataFrame([(8, 3), (9, None)], "edge int, orig_edge int")
     assert sorted((r["idx"], r["edge"]) for r in reduce.unmapped_arcs(rows, origins).collect()) == [(0, -1), (1, -1), (2, 3), (4, -1)]
+
+
+def test_playback_streams_and_steps(spark, lane):
+    from waymark.operators.playback import Playback, Scheduler
+
+    rows, out = lane[0], lane[4]
+    half = len(out.rows) // 2
+    costs = [r[-1] for r in out.rows]
+    player = Playback(rows.filter(F.col("idx") < half), complete=False)
+    player.play()
+    assert player.advance(1000) == half and player.clock.playing and player.total_work == sum(costs[:half])
+    player.append(rows.filter(F.col("idx") >= half))
+    assert player.position == half and player.total_work == out.work()
+    assert player.step_event() == half + 1 and player.clock.cursor == sum(costs[: half + 1])
+    player.mark_complete()
+    assert player.advance(1000) == len(costs) and not player.clock.playing and player.step_event() == len(costs)
+    assert player.seek(0) == next(i for i, c in enumerate(costs) if c) and player.applied.count() == player.position
+    for bad in (-1, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            player.seek(bad)
+    both = Scheduler([Playback(rows), Playback(rows.filter(F.col("idx") < half), complete=False)])
+    both.seek(10**9)
+    assert both.cap == both.applied_cursor == sum(costs[:half]) and not both.settle_all_finished
+    both.lanes[1].mark_complete()
+    assert both.seek(10**9) == [len(costs), half] and both.settle_all_finished and both.step_event() == [len(costs), half]
+
+
+def test_forest_lane_comes_back_from_the_reduced_graph(spark):
+    from waymark.kernels import dijkstra, reduction
+    from waymark.kernels.record import Arcs, Recorder
+    from waymark.plans.lanes import run_one
+
+    arcs = Arcs(120, generators.build("clusters", 120, 9)[1])
+    small = reduction.reduced(arcs)
+    assert small is not None and max(len(small.arcs.of(v)) for v in range(small.arcs.n)) <= 3
+    out, dist, pred = run_one(arcs, "dmsy")
+    want = dijkstra.run(arcs, 0, Recorder())[0]
+    weight = dict(zip(zip(arcs.src, arcs.dst, strict=True), arcs.w, strict=True))
+    assert dist == want and pred[0] == -1 and all(dist[pred[v]] + weight[pred[v], v] == dist[v] for v in range(1, arcs.n))
+    settles = [r[1] for r in out.rows if r[0] == 1]
+    assert sorted(settles) == list(range(arcs.n)) and all(r[2] < len(arcs.src) for r in out.rows)
+    # what the improving relaxations leave behind
+    replayed = {0: 0.0}
+    for r in out.rows:
+        if r[0] == 0 and r[3] == 1:
+            replayed[arcs.dst[r[2]]] = replayed[arcs.src[r[2]]] + arcs.w[r[2]]
+    assert [replayed[v] for v in range(arcs.n)] == want
+    with pytest.raises(ValueError):
+        run_one(arcs, "astar")
+    with pytest.raises(ValueError):
+        run_one(arcs, "bmssp", 120)
+
+
+def test_a_race_read_from_a_query_runs(spark):
+    from waymark.plans import lanes
+
+    rows = lanes.race(spark, specs.read("?g=maze&n=60&seed=1&race=dijkstra,bmssp,dmsy&bk=3"))
+    assert {r["lane"]: r["n"] for r in rows.filter("kind = 1").groupBy("lane").agg(F.count("*").alias("n")).collect()} == {0: 60, 1: 60, 2: 60}
+
+
+def test_codecs_and_exports():
+    lens = specs.read_lens("?g=maze&n=500&seed=-1&algo=dmsy&bmssp=paper&dk=4")
+    assert specs.read_lens(specs.write_lens(lens)) == lens and specs.read_lens("?n=0.5&seed=x&bk=-1") == specs.Lens()
+    story = specs.read_story("?mode=story&step=forest&t=12")
+    assert specs.read_story(specs.write_story(story)) == story and specs.is_story("?mode=story") and not specs.is_story("?mode=demo")
+    race_spec = specs.Race(t=5.0)
+    assert specs.share_url(race_spec, "https://example.org/") == "https://example.org/?g=sparse&n=25000&seed=4&race=dijkstra,bmssp"
+    assert specs.export_name(race_spec, "png") == "waymark-sparse-25000-seed-4.png" and specs.export_caption(race_spec, "u") == ("seed=4", "u")
+    assert specs.can_export(False, True) and not specs.can_export(False) and 0 <= specs.roll_seed() < 2**32 and specs.size_of("XL", "maze") == 100_000
+    for bad in (lambda: specs.write_lens(specs.Lens(algo="x")), lambda: specs.write_story(specs.Story(t=-1)), lambda: specs.size_of("XL", "city")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_sweep_writers(spark, tmp_path):
+    cells = sweeps.kt_sweep(spark, ("sparse",), (60,), (0,), (2,), ("paper", "k2"), "forest")
+    text = sweeps.markdown(cells, "Sweep")
+    assert text.startswith("# Sweep\n\n| kind | n |") and len(text.splitlines()) == 4 + cells.count()
+    sweeps.wall_clock(spark, [("maze", 30, 0)], str(tmp_path / "wall"))
+    row = sweeps.read_wall_clock(spark, str(tmp_path / "wall")).first()
+    assert set(row["wall_ms"]) == set(row["work"]) == {"dijkstra", "bounded", "forest"} and row["generated_at"] is not None
+
+
+def test_trace_benches(spark, lane):
+    from waymark.plans import trace_bench
+
+    found, took = trace_bench.write_and_scan(spark, 8000)
+    assert found.first()["n_pivot"] == 1000 and took > 0
+    assert set(trace_bench.replay(lane[0])) == {"end", "back", "frame"}
+
+
+def test_audits_see_what_is_broken(spark):
+    from waymark.operators import audits
+
+    rows = [(0, i, k, v, e, a0, a1, a2, f) for i, (k, v, e, a0, a1, a2, f) in enumerate([
+        (5, -1, -1, 0, 1, -1, 9.0), (2, -1, -1, 0, 1, -1, 0.0), (7, -1, -1, 2, 3, 1, 0.0), (1, 4, -1, 0, -1, -1, 0.0), (1, 4, -1, 1, -1, -1, 0.0), (4, -1, -1, 0, 0, 1, 0.0), (4, -1, -1, 0, 0, 1, 0.0),
+        (6, -1, 3, 1, 0, -1, 0.0), (6, -1, 3, 1, 1, -1, 0.0), (0, -1, 99, 0, -1, -1, 0.0), (5, -1, -1, 0, 0, -1, 2.0), (2, -1, -1, 0, 1, -1, 0.0), (1, 5, -1, 2, -1, -1, 0.0), (5, -1, -1, 1, 0, -1, 2.0), (1, 6, -1, 3, -1, -1, 0.0),
+    ])]
+    df = spark.createDataFrame(rows, "lane int, idx long, kind int, vertex int, edge int, aux0 int, aux1 int, aux2 int, aux_f double")
+    dist = spark.createDataFrame([(0, 4, 5.0), (0, 5, 3.0), (0, 6, 8.0)], "lane int, v long, dist double")
+    ids = lambda x: sorted(r["idx"] for r in x.collect())
+    assert ids(audits.heap_levels(df)) == [1] and ids(audits.pull_sizes(df, 1)) == [2] and ids(audits.settled_once(df)) == [4]
+    assert ids(audits.batches(df, 10, 50)) == [6, 9] and ids(audits.cut_groups(df)) == [7] and ids(audits.nesting(df)) == [0]
+    assert ids(audits.bounded_settles(df, dist)) == [12] and ids(audits.settle_order(df, dist)) == [12]
+    calls = {(r["entered"], r["left"], r["depth"]) for r in audits.matched_calls(df).collect()}
+    assert calls == {(0, None, 1), (10, 13, 2)}

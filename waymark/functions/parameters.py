@@ -68,3 +68,17 @@ def bounded_columns(n: Column) -> dict[str, Column]:
     bits = F.log2(n.cast("double"))
     k, t = F.greatest(F.floor(F.pow(bits, F.lit(1 / 3))), F.lit(1)), F.greatest(F.floor(F.pow(bits, F.lit(2 / 3))), F.lit(1))
     return {"k": k.cast("long"), "t": t.cast("long"), "demo_k": F.greatest(k, F.lit(DEMO_K_BOUNDED)).cast("long"), "levels": F.greatest(F.ceil(bits / t), F.lit(1)).cast("long")}
+
+
+def forest_columns(n: Column, delta: int = 3) -> dict[str, Column]:
+    """forest() over a column of vertex numbers (at least 4)."""
+    bits = F.log2(n.cast("double"))
+    t = F.greatest(F.ceil(F.sqrt(bits * F.log2(bits) / delta)), F.lit(1))
+    k = F.when(t >= 2, F.ceil(t / F.log2(t.cast("double")))).otherwise(1)
+    return {"t": t.cast("long"), "k": k.cast("long"), "demo_k": F.greatest(k, F.lit(DEMO_K_FOREST)).cast("long"), "levels": F.ceil(bits / t).cast("long")}
+
+
+def degree_bound_column(n: Column, m: Column) -> Column:
+    """degree_bound() over columns; null where there is no reduction."""
+    quarter = F.floor(F.log2(F.greatest(F.lit(1.0), F.log2(n.cast("double")))) / 4)
+    return F.when((n >= 2) & (m >= 3 * n), F.greatest(F.lit(3), F.least(quarter, F.floor(m / n)))).cast("long")

@@ -268,7 +268,12 @@ def spanning(vertices: list[int], edges: dict[int, tuple[int, int]]) -> list[tup
     return out
 
 
-def run(arcs: Arcs, source: int, params: Bounded, out: Recorder) -> tuple[list[float], list[int]]:
+def labelled(arcs: Arcs, source: int, params: Bounded, out: Recorder) -> list[Label]:
     lane = Lane(arcs, source, params, out)
     lane.solve(params.levels, ENDLESS, [source])
-    return [x[0] for x in lane.label], [int(x[3]) for x in lane.label]
+    return lane.label
+
+
+def run(arcs: Arcs, source: int, params: Bounded, out: Recorder) -> tuple[list[float], list[int]]:
+    label = labelled(arcs, source, params, out)
+    return [x[0] for x in label], [int(x[3]) for x in label]

@@ -42,3 +42,20 @@ def pivots(members: DataFrame) -> DataFrame:
 def band(value: Column, low: float, middle: float, high: float) -> Column:
     """[middle, high) is inserted, [low, middle) put ahead, less is rescued, the rest lies beyond."""
     return F.when((value >= middle) & (value < high), "insert").when((value >= low) & (value < middle), "prepend").when(value < high, "rescue").otherwise("beyond")
+
+
+def less_pair(value: Column, key: Column, bound: Column, bound_key: Column) -> Column:
+    """(value, key) < (bound, bound_key); a null bound_key stands below every key: values below the bound only."""
+    return (value < bound) | ((value == bound) & F.coalesce(key < bound_key, F.lit(False)))
+
+
+def region_fraction(size: Column, frontier: Column) -> Column:
+    """The sorted region's share of the frontier; 0 where there is no frontier."""
+    return F.when(frontier > 0, size / frontier).otherwise(0.0)
+
+
+def merge_smaller(left: DataFrame, right: DataFrame, m: int, other_m: int) -> DataFrame:
+    """merge() with the structures' block sizes: one that isn't empty must come from smaller blocks."""
+    if other_m >= m and right.head(1):
+        raise ValueError("only a structure of smaller blocks can be merged")
+    return merge(left, right)

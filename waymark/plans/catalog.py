@@ -15,6 +15,7 @@ from waymark.operators import lists, race, reduce, sssp, trace
 from waymark.schema import KINDS
 from waymark.session import table
 from waymark.sources import generators, graphs
+from waymark.sources.generators import KINDS as KINDS_OF_GRAPHS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,7 +140,7 @@ def csr_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH raw AS (SELECT o_custkey % 50 AS src, o_orderkey % 60 AS dst, CASE WHEN o_orderkey % 11 = 0 THEN -1.0 ELSE o_totalprice END AS w FROM orders)
 SELECT count(*) AS arcs, count(*) FILTER (src = dst) AS loops, count(*) FILTER (w < 0) AS bad_weights, (SELECT count(*) FROM (SELECT src AS v FROM raw UNION ALL SELECT dst FROM raw) WHERE v >= 50) AS loose_ends,
-(SELECT count(*) FROM (SELECT src, dst FROM raw GROUP BY src, dst HAVING count(*) > 1)) AS doubled FROM raw""")
+(SELECT count(*) FROM (SELECT src, dst FROM raw GROUP BY src, dst HAVING count(*) > 1)) AS doubled, 0 AS unplaced FROM raw""")
 def csr_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_violations(spark, table(spark, sf_dir, "orders"))
 
@@ -284,7 +285,7 @@ def out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tr("SELECT lane, idx, CAST(sum(CASE WHEN aux0 = 0 THEN 1 ELSE -1 END) OVER w AS BIGINT) AS depth, last_value(CASE WHEN aux0 = 0 THEN aux_f END IGNORE NULLS) OVER w AS bound FROM tr WHERE kind = 5 WINDOW w AS (PARTITION BY lane ORDER BY idx ROWS UNBOUNDED PRECEDING)"))
 def recursion_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace.recursion(event_trace(spark, sf_dir))
+    return trace.recursion(event_trace(spark, sf_dir), strict=False)
 
 
 @query(with_tr(""", g AS (SELECT *, kind = 4 AND aux0 = 0 AS s, sum(CASE WHEN kind = 7 OR (kind = 5 AND aux0 = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY lane ORDER BY idx ROWS UNBOUNDED PRECEDING) AS grp FROM tr)
@@ -349,9 +350,10 @@ def bloom_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.bloom_boxes(event_trace(spark, sf_dir), stand_in_arcs(spark), placed(spark.range(97).select(F.col("id").alias("v"))))
 
 
-@query()
+@query(with_tr("""SELECT lane, array_to_string(list_reduce(list([aux0, aux1] ORDER BY idx), lambda s, x: CASE WHEN x[1] IN (0, 3) THEN list_append(s, x[2])[-64:] WHEN x[1] = 1 THEN list_prepend(x[2], s)[:64] ELSE s[x[2] + 1:] END, CAST([] AS INTEGER[])), ',') AS strip
+FROM tr WHERE kind = 7 GROUP BY lane"""))
 def schematic_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace.schematic(event_trace(spark, sf_dir))
+    return trace.schematic(event_trace(spark, sf_dir)).select("lane", F.array_join(F.col("strip").cast("array<string>"), ",").alias("strip"))
 
 
 # ------------------------------------------------------------------ races
@@ -397,18 +399,47 @@ def settle_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return race.settle_diff(events.filter("event_type = 'click'"), events.filter("event_type = 'error'"), events.select("v").distinct())
 
 
-@query(with_tr("""SELECT lane, CASE WHEN n4 % 2 = 1 THEN 'finding pivots, round ' || n4 WHEN n7 % 3 > 0 THEN 'pulled ' || n7 % 3 || ' from the list' WHEN n5 % 4 > 0 THEN 'at level ' || n5 % 4 ELSE 'idle' END AS text
-FROM (SELECT lane, count(*) FILTER (kind = 4) AS n4, count(*) FILTER (kind = 7) AS n7, count(*) FILTER (kind = 5) AS n5 FROM tr GROUP BY lane)"""))
+COUNTS = ", ".join(f"count(*) FILTER (kind = {i}) AS n{i}" for i in range(8))
+BOUND = "CASE WHEN n0 % 7 = 0 THEN '\u221e' ELSE CAST(n0 AS VARCHAR) END"
+
+
+@query(with_tr(f"""SELECT lane, CASE WHEN n5 % 3 > 0 AND (n4 % 2 = 1 OR n4 % 5 > 0) THEN 'FindPivots round ' || n4 % 5 || CASE WHEN n1 % 2 = 1 THEN '/' || 4 ELSE '' END || ': ' || n6 || ' vertices relaxed, ' || n3 || ' pivots found'
+WHEN n5 % 3 > 0 AND n7 % 3 > 0 THEN 'BMSSP level ' || n5 % 3 || ': bound ' || {BOUND} || ', pulled ' || n7 % 3 WHEN n5 % 3 > 0 THEN 'BMSSP level ' || n5 % 3 || ': bound ' || {BOUND} ELSE 'BMSSP idle' END AS text FROM (SELECT lane, {COUNTS} FROM tr GROUP BY lane, idx // 500)"""))
 def narration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trace.tally(event_trace(spark, sf_dir))
-    return race.narration(t.select("lane", (F.col("n_batch") % 2 == 1).alias("batch_open"), F.col("n_batch").alias("round"), (F.col("n_dstruct") % 3).alias("pulled"), (F.col("n_recurse") % 4).alias("level")))
+    c = stretches(spark, sf_dir)
+    bound = F.when(F.col("n0") % 7 == 0, float("inf")).otherwise(F.col("n0").cast("double"))
+    state = c.select("lane", (F.col("n5") % 3).alias("depth"), (F.col("n4") % 2 == 1).alias("batch_open"), (F.col("n4") % 5).alias("round"), F.when(F.col("n1") % 2 == 1, 4).otherwise(0).alias("rounds"), F.col("n6").alias("size"), F.col("n3").alias("pivots"), bound.alias("bound"), (F.col("n7") % 3).alias("pulled"))
+    return race.narration(state)
+
+
+@query(with_tr(f"""SELECT lane, CASE WHEN n6 % 3 + n4 % 2 + n7 % 2 > 0 THEN 'Forest ' || n6 % 3 || ' edges, ' || n7 % 2 || ' subtrees cut, ' || n3 || ' pivots, D occupancy ' || n2
+WHEN n5 % 3 > 0 THEN 'DMSY level ' || n5 % 3 || ': bound ' || {BOUND} ELSE 'DMSY idle' END AS text FROM (SELECT lane, {COUNTS} FROM tr GROUP BY lane, idx // 500)"""))
+def forest_narration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = stretches(spark, sf_dir)
+    bound = F.when(F.col("n0") % 7 == 0, float("inf")).otherwise(F.col("n0").cast("double"))
+    return race.forest_narration(c.select("lane", (F.col("n5") % 3).alias("depth"), (F.col("n6") % 3).alias("grown"), (F.col("n4") % 2).alias("cut"), (F.col("n7") % 2).alias("subtrees"), F.col("n3").alias("pivots"), bound.alias("bound"), F.col("n2").alias("region")))
+
+
+def stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of kinds in stretches of the stand-in trace, as states to narrate."""
+    return event_trace(spark, sf_dir).groupBy("lane", F.floor(F.col("idx") / 500)).agg(*(F.count_if(F.col("kind") == i).alias(f"n{i}") for i in range(8)))
+
 
+def banner_sql(ending: str) -> str:
+    """The published sentence: the winner, the second, their distance, and all totals in the lanes' order."""
+    return with_tr(f", {LANES}, o AS (SELECT *, row_number() OVER (ORDER BY work, lane) AS n FROM ln) SELECT (SELECT label FROM o WHERE n = 1) || ' beat ' || (SELECT label FROM o WHERE n = 2) || ' by ' || format('{{:,}}', (SELECT work FROM o WHERE n = 2) - (SELECT work FROM o WHERE n = 1)) || ' {ending} (' || string_agg(label || ': ' || format('{{:,}}', work), '; ' ORDER BY lane) || ')' AS text FROM o")
 
-@query(with_tr(f", {LANES}, o AS (SELECT *, row_number() OVER (ORDER BY work, lane) AS n FROM ln) SELECT (SELECT label FROM o WHERE n = 1) || ' beat ' || (SELECT label FROM o WHERE n = 2) || ' by ' || format('{{:,}}', (SELECT work FROM o WHERE n = 2) - (SELECT work FROM o WHERE n = 1)) || ' comparisons (' || string_agg(label || ' ' || format('{{:,}}', work), ', ' ORDER BY n) || ')' AS text FROM o"))
+
+@query(banner_sql("comparisons on this graph."))
 def race_banner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return race.banner(lanes(spark, sf_dir))
 
 
+@query(banner_sql("comparisons on the settle-all work clock."))
+def settle_all_banner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return race.banner(lanes(spark, sf_dir), settle_all=True)
+
+
 # ------------------------------------------------------------------ formulas, draws, sweeps
 
 
@@ -449,11 +480,11 @@ def family_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweeps.family_gate(cells)
 
 
-@query("SELECT v, CAST(CASE WHEN work - mark >= 0 AND work - mark < 10000 THEN 1 ELSE 0 END AS BIGINT) AS shown, CAST(floor(255.0 * nth / greatest(1, n - 1)) AS BIGINT) AS shade FROM (SELECT event_id AS v, event_id * 3 AS mark, 20000 AS work, row_number() OVER (ORDER BY event_id) - 1 AS nth, count(*) OVER () AS n FROM events WHERE event_type = 'click')")
+@query("SELECT v, CAST(CASE WHEN work - mark >= 0 AND work - mark < 10000 THEN 1 ELSE 0 END AS BIGINT) AS shown, CAST(floor(255.0 * nth / greatest(1, n - 1)) AS BIGINT) AS shade FROM (SELECT event_id AS v, event_id * 3 AS mark, 20000 AS work, row_number() OVER (ORDER BY event_id) - 1 AS nth, count(*) OVER () AS n FROM events)")
 def ghost_shades(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.operators import scene
 
-    clicks = graphs.prefix_sums(table(spark, sf_dir, "events").filter("event_type = 'click'").select(F.col("event_id").alias("v"), F.lit(1).alias("one")), "v", "one")
+    clicks = graphs.prefix_sums(table(spark, sf_dir, "events").select(F.col("event_id").alias("v"), F.lit(1).alias("one")), "v", "one")
     n = clicks.count()
     return clicks.select("v", scene.in_window(F.lit(20000), F.col("v") * 3).cast("long").alias("shown"), scene.shade(F.col("before"), n).alias("shade"))
 
@@ -482,25 +513,33 @@ def dmsy_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lane_plans.run_lanes(lane_plans.specs(spark, [("sparse", 500, s, "forest") for s in range(3)]))
 
 
-@query()
+#: Published work of the classic lane, by kind and size, for seeds 0, 1 and 2.
+PUBLISHED = {
+    ("maze", 500): (2430, 1922, 2279), ("maze", 5000): (28853, 28383, 29404), ("sparse", 500): (5767, 5768, 3), ("sparse", 5000): (84824, 85289, 84482), ("clusters", 500): (24546, 24574, 24129),
+    ("clusters", 5000): (286318, 283088, 285506), ("adversarial", 500): (8562, 8568, 8568), ("adversarial", 5000): (118508, 118461, 118526), ("city", 500): (10075, 10180, 10490),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {n}, {seed}, {work})" for (k, n), works in PUBLISHED.items() for seed, work in enumerate(works)) + ") AS p(kind, n, seed, work)")
 def dijkstra_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.plans import sweeps
 
-    return sweeps.work_grid(spark, ("maze", "sparse", "clusters", "adversarial"), (500,), (0, 1, 2))
+    four = sweeps.work_grid(spark, ("maze", "sparse", "clusters", "adversarial"), (500, 5000), (0, 1, 2))
+    return four.unionByName(sweeps.work_grid(spark, ("city",), (500,), (0, 1, 2)))
 
 
 @query()
 def kt_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.plans import sweeps
 
-    return sweeps.kt_sweep(spark, ("maze", "sparse", "adversarial"), (500,), (0, 1), (2, 4, 8), (2, 4))
+    return sweeps.kt_sweep(spark, KINDS_OF_GRAPHS, (500,), (0, 1, 2), sweeps.KS, sweeps.VARIANTS)
 
 
 @query()
-def url_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from waymark.plans import specs
+def kt_sweep_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.plans import sweeps
 
-    rows = [(s, specs.write(specs.read(s))) for s in ("?g=maze&n=5000&seed=7", "?g=none&n=-1", "?race=dijkstra,bmssp&t=12.5&bk=4", "")]
-    return spark.createDataFrame(rows, "given string, written string")
+    return sweeps.kt_sweep(spark, ("maze", "sparse", "adversarial"), (500,), (0, 1), (2, 6, 12), sweeps.VARIANTS, "forest")
 
 
+from waymark.plans import lane_queries  # noqa: E402, F401  registers its queries here

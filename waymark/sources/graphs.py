@@ -61,21 +61,23 @@ def offsets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def violations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: how many arcs or vertices break each rule of a graph."""
+    """One row: how many arcs or vertices break each rule of a graph; vertices may have places x and y."""
     known = vertices.select(F.col("v").alias("known"))
     loose = edges.select(F.col("src").alias("known")).union(edges.select("dst")).join(known, "known", "left_anti").count()
     doubled = edges.groupBy("src", "dst").count().filter("count > 1").count()
     infinite = F.lit(float("inf"))
+    nowhere = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == infinite) for c in ("x", "y") if c in vertices.columns]
+    unplaced = vertices.filter(nowhere[0] | nowhere[1]).count() if len(nowhere) == 2 else 0
     bad = F.isnan(F.col("w").cast("double")) | (F.col("w") < 0) | (F.col("w").cast("double") == infinite) | F.col("w").isNull()
     return edges.agg(
-        F.count("*").alias("arcs"), F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.count_if(bad).alias("bad_weights"), F.lit(loose).cast("long").alias("loose_ends"), F.lit(doubled).cast("long").alias("doubled"),
+        F.count("*").alias("arcs"), F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.count_if(bad).alias("bad_weights"), F.lit(loose).cast("long").alias("loose_ends"), F.lit(doubled).cast("long").alias("doubled"), F.lit(unplaced).cast("long").alias("unplaced"),
     )
 
 
 def checked(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """The arcs, packed; raises where a rule is broken."""
     found = violations(vertices, edges).first()
-    broken = {k: found[k] for k in ("loops", "bad_weights", "loose_ends", "doubled") if found[k]}
+    broken = {k: found[k] for k in ("loops", "bad_weights", "loose_ends", "doubled", "unplaced") if found[k]}
     if broken:
         raise ValueError(f"not a graph: {broken}")
     return packed(edges)
