@@ -129,3 +129,41 @@ def test_local_searches_on_a_chain():
     assert groups == [[0]] and lone == [] and small == []
     kinds = [(r[0], r[3]) for r in lane.out.rows]
     assert kinds == [(2, 0), (2, 1), (0, 1), (6, 0), (2, 0), (6, 1)]
+
+
+def test_blocks_against_a_sorted_map():
+    """Random inserts, prepends and pulls, against a plain dictionary; sizes stay within their window."""
+    import random
+
+    from waymark.kernels.blocks import BlockList
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        m = rng.choice([1, 2, 3, 7, 16])
+        held, plain = BlockList(m, (1000.0, -1)), {}
+        for _ in range(120):
+            what = rng.random()
+            if what < 0.6:
+                k, v = rng.randrange(80), float(rng.randrange(1000))
+                held.insert(k, v)
+                plain[k] = min(v, plain.get(k, v))
+            elif what < 0.75:
+                low = min(plain.values(), default=1000.0)
+                pairs = [(low - 1 - rng.randrange(50), rng.randrange(80)) for _ in range(rng.randrange(6))]
+                held.prepend(pairs)
+                new = {}
+                for v, k in pairs:
+                    new[k] = min(v, new.get(k, v))
+                plain |= new
+            else:
+                order = sorted((v, k) for k, v in plain.items())
+                bound, keys = held.pull()
+                assert keys == sorted(k for _, k in order[:m]) and bound == (order[m] if len(order) > m else (1000.0, -1))
+                plain = {k: v for v, k in order[m:]}
+            assert held.value == plain and sum(map(len, held.blocks)) == len(plain)
+            assert all(0 < len(b) <= max(m, 1) for b in held.blocks)
+            flat = [sorted((v, k) for k, v in b.items()) for b in held.blocks]
+            assert all(a[-1] < b[0] for a, b in zip(flat, flat[1:]))
+        for bad in (float("nan"), float("inf"), 1001.0):
+            with pytest.raises(ValueError):
+                held.insert(1, bad)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from waymark.functions.parameters import degree_bound
 from waymark.operators.sssp import distances
-from waymark.sources.graphs import prefix_sums
+from waymark.sources.graphs import ordered, prefix_sums
 from waymark.staging import stage
 
 
@@ -21,14 +21,17 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def reduced(edges: DataFrame, delta: int) -> tuple[DataFrame, DataFrame]:
-    """(arcs between copies, owners): vertex v has ceil(neighbours / (delta - 2)) copies in a ring of weight 0; its
+    """(arcs between copies, owners), by delta of at least 3: vertex v has ceil(neighbours / (delta - 2)) copies in a ring of weight 0; its
     kth neighbour's arcs meet copy k div (delta - 2)."""
+    if delta < 3:
+        raise ValueError("a ring's copies need a neighbour each")
     each = delta - 2
-    near = neighbours(edges)
+    near = stage(neighbours(edges), "neighbours")
     count = near.groupBy("v").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / each)).alias("copies"))
     base = prefix_sums(count, "v", "copies").withColumnRenamed("before", "first")
-    nth = Window.partitionBy("v").orderBy("u")
-    slots = near.withColumn("k", F.row_number().over(nth) - 1).join(base, "v").select("v", "u", (F.col("first") + F.floor(F.col("k") / each)).alias("at"))
+    sorted_ = ordered(near, ["v", "u"], "nth")
+    starts = sorted_.groupBy("v").agg(F.min("nth").alias("start"))
+    slots = sorted_.join(base.join(starts, "v"), "v").select("v", "u", (F.col("first") + F.floor((F.col("nth") - F.col("start")) / each)).alias("at"))
     tail, head = slots.alias("a"), slots.alias("b")
     met = edges.join(tail, (F.col("a.v") == F.col("src")) & (F.col("a.u") == F.col("dst"))).join(head, (F.col("b.v") == F.col("dst")) & (F.col("b.u") == F.col("src")))
     owners = base.select("v", "copies", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("copy"), "first")
@@ -36,6 +39,21 @@ def reduced(edges: DataFrame, delta: int) -> tuple[DataFrame, DataFrame]:
     return met.select(F.col("a.at").alias("src"), F.col("b.at").alias("dst"), "w").unionByName(ring), owners.select("copy", "v")
 
 
+def reduced_if_dense(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int | None]:
+    """(arcs, owners, delta) by the degree that the size asks for; the graph as it is, every vertex its own copy, and
+    None where it is sparse enough."""
+    delta = degree_bound(n, edges.count())
+    if delta is not None:
+        return *reduced(edges, delta), delta
+    vertices = edges.select(F.col("src").alias("v")).union(edges.select("dst")).distinct()
+    return edges.select("src", "dst", "w"), vertices.select(F.col("v").alias("copy"), "v"), None
+
+
+def reduced_source(owners: DataFrame, source: int) -> int | None:
+    """The lowest copy of the source; None if it has no arc."""
+    return owners.filter(F.col("v") == source).agg(F.min("copy")).first()[0]
+
+
 def mapped_back(dist: DataFrame, owners: DataFrame) -> DataFrame:
     """(v, dist): the least of the copies' distances."""
     return dist.withColumnRenamed("v", "copy").join(owners, "copy").groupBy("v").agg(F.min("dist").alias("dist"))

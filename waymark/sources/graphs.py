@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.session import table
+from waymark.staging import stage
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,25 +34,42 @@ def successions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUCCESSIONS_SQL = """ed AS (SELECT a.user_id AS src, b.user_id AS dst, CAST(min(floor(b.value)) AS BIGINT) AS w FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.user_id <> b.user_id GROUP BY ALL)"""
 
 
+def ordered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """rows with `name`, dense from 0 in the order of `by`: dealt by range and sorted, a row's number is its place in
+    its part behind the parts before. No key gathers in a task, and one number a part reaches the driver."""
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id())
+    placed = stage(place, "ordered")
+    part = F.shiftright("_place", 33)
+    before, total = {}, 0
+    for r in sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        before[r["part"]], total = total, total + r["n"]
+    if not before:
+        return placed.select(*rows.columns, F.col("_place").alias(name))
+    firsts = F.create_map(*(F.lit(int(x)).cast("long") for pair in before.items() for x in pair))
+    return placed.select(*rows.columns, (firsts[part] + F.col("_place").bitwiseAND(F.lit(2**33 - 1))).alias(name))
+
+
 def packed(edges: DataFrame) -> DataFrame:
-    """Adds e, dense from 0 in (src, dst) order: numbers inside a source behind the sum of the sources before.
-
-    The sum runs over ranges of sources, so that no task sees all arcs.
-    """
-    degrees = edges.groupBy("src").agg(F.count("*").alias("n"))
-    firsts = prefix_sums(degrees, "src", "n").select("src", F.col("before").alias("first"))
-    nth = Window.partitionBy("src").orderBy("dst")
-    return edges.withColumn("k", F.row_number().over(nth)).join(firsts, "src").select((F.col("first") + F.col("k") - 1).alias("e"), "src", "dst", "w")
-
-
-def prefix_sums(rows: DataFrame, key: str, value: str, stripe: int = 65_536) -> DataFrame:
-    """Adds `before`: the sum of value over smaller keys, by stripes of keys and sums inside each stripe."""
-    striped = rows.withColumn("stripe", F.floor(F.col(key) / stripe))
-    sums = striped.groupBy("stripe").agg(F.sum(value).alias("s"))
-    upto = Window.orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)  # a row per stripe
-    bases = sums.select("stripe", F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("stripe").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return striped.withColumn("inner", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(bases, "stripe").withColumn("before", F.col("base") + F.col("inner")).drop("stripe", "inner", "base")
+    """Adds e, dense from 0 in (src, dst) order."""
+    return ordered(edges.select("src", "dst", "w"), ["src", "dst"], "e").select("e", "src", "dst", "w")
+
+
+def prefix_sums(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Adds `before`: the sum of value over smaller keys (each key once). Rows are dealt by ranges of the keys that are
+    there, however sparse; sums run inside a range, behind those of the ranges before."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
+    cut = stage(dealt, "ranges")
+    sums, total = {}, 0
+    for r in sorted(cut.groupBy("_part").agg(F.sum(value).alias("s")).collect()):
+        sums[r["_part"]], total = total, total + r["s"]
+    if not sums:
+        return cut.select(*rows.columns, F.lit(0).cast("long").alias("before"))
+    base = F.create_map(*(F.lit(int(x)).cast("long") for pair in sums.items() for x in pair))
+    inside = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.withColumn("before", base[F.col("_part")] + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_part")
 
 
 def offsets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
