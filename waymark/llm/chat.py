@@ -8,10 +8,17 @@ learn from; Viterbi's path names the state of every line; a turn is a begin line
 For a table of conversations whose roles are known, transcripts() writes the raw text first: each conversation in
 one of the STYLES of marking speakers, with some turns' markers left out, so that recovery can be measured.
 
-Conversations are taken in segments of SEGMENT turn numbers, each parsed alone: no conversation of any length
-gathers in one task. Defined cases: identical rows are turns of their own; null text is the empty text; a null role, or one
-other than system, user and assistant, is written without a marker and not counted as right or wrong; a null turn
-stands first; a null conv_id is a conversation; extra columns are ignored; empty tables give an empty result.
+Conversations are sorted by range of (conv_id, turn, role, hash of the text), which numbers their turns, and cut into
+segments of SLAB turns, so none gathers in one task, whatever its length and even if all rows are of one conversation;
+yet a conversation is parsed as a whole. For every segment of a long one, max-plus products of the transition and
+emission scores give the best value from each state before it to each state at its end; these few numbers are chained
+along the conversation, which fixes the state before and at the end of each segment as Viterbi's path over all lines
+has them, and inside a segment the path between the two is the whole path's. Segments' renderings, put one behind the
+other, are the conversation's.
+
+Defined cases: identical rows are turns of their own; null text is the empty text; a null role, or one other than
+system, user and assistant, is written without a marker and not counted as right or wrong; null turns stand first; a
+null conv_id is a conversation; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import stage, text_column
+from waymark.sources.graphs import ordered
 
 ROLES = ("system", "user", "assistant")
-SEGMENT = 256
+#: Turns in a segment; two at least.
+SLAB = 512
 FOLDS = 5
 UNMARKED = 6  # one turn in so many has no marker
 #: Ways to mark a speaker; {0} is the role's name in that style.
@@ -45,12 +54,12 @@ STATES = 2 * len(ROLES)  # role * 2 + (1 inside)
 SIZES = (4, 6, 2, 2, 2)
 
 
-def features(lines: list[str]) -> np.ndarray:
+def features(lines: list[str], first: bool = True, blank: bool = False) -> np.ndarray:
+    """first: whether the first line is the conversation's; blank: whether the line before it is blank."""
     out = np.zeros((len(lines), len(SIZES)), np.int64)
-    blank = False
     for i, line in enumerate(lines):
         n = line.count(" ") + 1 if line.strip() else 0
-        out[i] = (1 + speaker(line) if speaker(line) >= 0 else 0, np.searchsorted((1, 4, 12, 30, 80), n, side="left") if n else 0, line.rstrip().endswith("?"), i == 0, blank)
+        out[i] = (1 + speaker(line) if speaker(line) >= 0 else 0, np.searchsorted((1, 4, 12, 30, 80), n, side="left") if n else 0, line.rstrip().endswith("?"), first and i == 0, blank)
         blank = not line.strip()
     return out
 
@@ -61,13 +70,13 @@ def speaker(line: str) -> int:
     return NAMES.get((m["a"] or m["b"] or m["c"] or m["d"] or m["e"]).lower(), -1) if m else -1
 
 
-def write_transcript(conv_id: object, turns: list[tuple[object, str | None, str]]) -> tuple[list[str], list[int]]:
-    """Lines, and for each line its true state (-1 for unknown roles)."""
+def write_transcript(conv_id: object, turns: list[tuple[object, str | None, str]], first: bool = True) -> tuple[list[str], list[int]]:
+    """Lines, and for each line its true state (-1 for unknown roles). A conversation's first turn has a marker."""
     pattern, names = STYLES[zlib.crc32(f"{conv_id}".encode()) % len(STYLES)]
     lines, states = [], []
     for turn, role, text in turns:
         at = ROLES.index(role) if role in ROLES else -1
-        marked = at >= 0 and (not lines or zlib.crc32(f"{conv_id}:{turn}".encode()) % UNMARKED)
+        marked = at >= 0 and ((first and not lines) or zlib.crc32(f"{conv_id}:{turn}".encode()) % UNMARKED)
         body = ((pattern.format(names[at]) if marked else "") + text).split("\n")
         lines += body
         states += [2 * at + (i > 0) if at >= 0 else -1 for i in range(len(body))]
@@ -88,109 +97,210 @@ class Chain:
         logs = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
         return Chain(logs(start), logs(step.reshape(STATES, STATES)), [logs(e.reshape(STATES, n)) for e, n in zip(emit, SIZES, strict=True)])
 
-    def path(self, seen: np.ndarray) -> list[int]:
-        """Viterbi's states for a transcript's features."""
+    def said(self, seen: np.ndarray) -> np.ndarray:
+        return sum(e[:, seen[:, i]] for i, e in enumerate(self.emit)).T
+
+    def path(self, seen: np.ndarray, before: int | None = None, last: int | None = None) -> list[int]:
+        """Viterbi's states for a transcript's features, behind a given state and with a given last one."""
         if not len(seen):
             return []
-        said = sum(e[:, seen[:, i]] for i, e in enumerate(self.emit)).T
-        best, back = self.start + said[0], np.zeros((len(seen), STATES), np.int64)
+        said = self.said(seen)
+        best, back = (self.start if before is None else self.step[before]) + said[0], np.zeros((len(seen), STATES), np.int64)
         for t in range(1, len(seen)):
             ways = best[:, None] + self.step
             back[t] = ways.argmax(axis=0)
             best = ways[back[t], np.arange(STATES)] + said[t]
-        out = [int(best.argmax())]
+        out = [int(best.argmax()) if last is None else last]
         for t in range(len(seen) - 1, 0, -1):
             out.append(int(back[t, out[-1]]))
         return out[::-1]
 
+    def across(self, seen: np.ndarray, first: bool) -> np.ndarray:
+        """The best value from each state before these lines to each state of the last one; all rows are alike at a
+        conversation's start."""
+        said = self.said(seen)
+        best = (np.tile(self.start, (STATES, 1)) if first else self.step) + said[0]
+        for t in range(1, len(seen)):
+            best = (best[:, :, None] + self.step).max(axis=1) + said[t]
+        return best
+
+
+def chained(products: list[np.ndarray]) -> list[int]:
+    """The last state of every segment on the best path, given across() of the segments in order."""
+    values = [products[0][0]]
+    for p in products[1:]:
+        values.append((values[-1][:, None] + p).max(axis=0))
+    out = [int(values[-1].argmax())]
+    for value, p in zip(values[-2::-1], products[:0:-1], strict=True):
+        out.append(int((value + p[:, out[-1]]).argmax()))
+    return out[::-1]
+
 
-def count(lines: list[str], states: list[int]) -> np.ndarray:
+def count(lines: list[str], states: list[int], first: bool = True, before: int = -1, blank: bool = False) -> np.ndarray:
+    """before: the true state of the line ahead, -1 if there is none or it is unknown."""
     start, step = np.zeros(STATES), np.zeros((STATES, STATES))
     emit = [np.zeros((STATES, n)) for n in SIZES]
-    for i, (seen, state) in enumerate(zip(features(lines), states, strict=True)):
+    for i, (seen, state) in enumerate(zip(features(lines, first, blank), states, strict=True)):
         if state < 0:
             continue
-        if i == 0:
+        ahead = states[i - 1] if i else before
+        if first and i == 0:
             start[state] += 1
-        elif states[i - 1] >= 0:
-            step[states[i - 1], state] += 1
+        elif ahead >= 0:
+            step[ahead, state] += 1
         for table, value in zip(emit, seen, strict=True):
             table[state, value] += 1
     return np.concatenate([start, step.ravel(), *(e.ravel() for e in emit)])
 
 
-def turns_of(lines: list[str], states: list[int]) -> list[tuple[str, str]]:
-    """(role, text) of each turn, without markers."""
-    out: list[list] = []
+def blocks_of(lines: list[str], states: list[int], before: int | None = None) -> list[tuple[str, list[str]]]:
+    """(role, lines without markers) of each turn; what goes on from the line ahead comes first, with the role "" (even
+    if it is nothing), where there is a line ahead."""
+    out: list[tuple[str, list[str]]] = [] if before is None else [("", [])]
+    role_now = None if before is None else ROLES[before // 2]
     for line, state in zip(lines, states, strict=True):
         role, inside = divmod(state, 2)
+        if inside and role_now == ROLES[role]:
+            out[-1][1].append(line)
+            continue
         m = MARKER.match(line) if speaker(line) >= 0 else None
         bare = line[m.end() :] if m else line
-        if inside and out and out[-1][0] == ROLES[role]:
-            out[-1][1].append(line)
-        else:
-            # a marker alone on its line has no text of its own
-            out.append([ROLES[role], [] if m and not bare else [bare]])
-    return [(role, "\n".join(body)) for role, body in out]
+        role_now = ROLES[role]
+        # a marker alone on its line has no text of its own
+        out.append((role_now, [] if m and not bare else [bare]))
+    return out
+
+
+def turns_of(lines: list[str], states: list[int]) -> list[tuple[str, str]]:
+    """(role, text) of each turn, without markers."""
+    return [(role, "\n".join(body)) for role, body in blocks_of(lines, states)]
+
+
+END = "<|end|>\n"
+
+
+def rendered(blocks: list[tuple[str, list[str]]], closed: bool = True) -> str:
+    """Turns in one form. A block of the role "" goes on with a turn that was opened before; closed: the last one ends here."""
+    out = [("" if i == 0 and role == "" else (END if i else "") + f"<|{role}|>\n") + "".join(f"{x}\n" for x in body) for i, (role, body) in enumerate(blocks)]
+    return "".join(out) + (END if closed and blocks else "")
 
 
 def render(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns)
+    return rendered([(role, text.split("\n") if text else []) for role, text in turns])
+
+
+KEYS = ["conv_id", "turn", "role", "h", "uid"]
 
 
 def segments(conversations: DataFrame) -> DataFrame:
-    """conv_id, segment, turns: an ordered array for each segment of a conversation."""
+    """conv_id, segment, turns: the turns of a conversation in order, SLAB to a segment."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text_column().alias("text"))
-    segment = F.floor(F.coalesce("turn", F.lit(0)) / SEGMENT).cast("long")
-    return rows.groupBy("conv_id", segment.alias("segment")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rows = ordered(rows.withColumn("h", F.md5("text")).withColumn("uid", F.monotonically_increasing_id()), KEYS, "rank")
+    firsts = rows.groupBy(F.col("conv_id").alias("c")).agg(F.min("rank").alias("start"))
+    placed = rows.join(firsts, F.col("conv_id").eqNullSafe(F.col("c"))).withColumn("place", F.col("rank") - F.col("start"))
+    turns = F.sort_array(F.collect_list(F.struct("place", "turn", "role", "text")))  # SLAB at most
+    return placed.groupBy("conv_id", F.floor(F.col("place") / SLAB).alias("segment")).agg(turns.alias("turns"))
+
+
+def tail(conv_id: object, turn: object, role: str | None, text: str) -> tuple[int, bool]:
+    """True state and blankness of the last line of a turn that is not the first."""
+    lines, states = write_transcript(conv_id, [(turn, role, text)], False)
+    return states[-1], not lines[-1].strip()
+
+
+def settled(found: DataFrame) -> DataFrame:
+    """found with opens (the conversation begins with the segment), and the line ahead's true state (-1 for none or
+    unknown) and blankness. A segment with one behind it holds SLAB turns, two at least, so its last is not the first."""
+
+    def tails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ends = [tail(key(c), key(t["turn"]), t["role"], t["text"]) for c, t in zip(frame["conv_id"], frame["t"], strict=True)]
+            yield pd.DataFrame({"c": pd.array([key(c) for c in frame["conv_id"]], "Int64"), "s": frame["segment"] + 1, "before": [e[0] for e in ends], "blank": [e[1] for e in ends]})
+
+    first = found.filter("segment = 0").withColumns({"opens": F.lit(True), "before": F.lit(-1), "blank": F.lit(False)})
+    full = found.filter(F.size("turns") == SLAB).select("conv_id", "segment", F.element_at("turns", -1).alias("t"))
+    ahead = full.mapInPandas(tails, "c long, s long, before int, blank boolean")
+    later = found.filter("segment > 0").withColumn("opens", F.lit(False)).join(ahead, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s"))).drop("c", "s")
+    return first.unionByName(later.select(*first.columns))
+
+
+def lines_of(row: object) -> tuple[list[str], list[int]]:
+    return write_transcript(key(row.conv_id), [(key(t["turn"]), t["role"], t["text"]) for t in row.turns], bool(row.opens))
 
 
 def learn(found: DataFrame) -> Chain:
-    """Counts over all segments to learn from; a row of a few hundred numbers from each task reaches the driver's sum."""
+    """Counts over all conversations to learn from; a row of a few hundred numbers from each task reaches the driver's sum."""
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for frame in frames:
-            for conv_id, turns in zip(frame["conv_id"], frame["turns"], strict=True):
-                c = count(*write_transcript(key(conv_id), [(t["turn"], t["role"], t["text"]) for t in turns]))
+            for row in frame.itertuples(index=False):
+                c = count(*lines_of(row), bool(row.opens), int(row.before), bool(row.blank))
                 total = c if total is None else total + c
         if total is not None:
             yield pd.DataFrame({"at": np.arange(len(total)), "n": total})
 
     rows = found.filter(F.coalesce(F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(FOLDS)), F.lit(1)) != 0)
-    sums = rows.select("conv_id", "turns").mapInPandas(counted, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.mapInPandas(counted, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(STATES + STATES * STATES + sum(STATES * n for n in SIZES))
     counts[sums["at"].to_numpy(int)] = sums["n"].to_numpy()
     return Chain.from_counts(counts)
 
 
 def key(conv_id: object) -> object:
+    """A whole number, or None; pandas reads whole numbers beside nulls as floats."""
     return None if conv_id is None or conv_id != conv_id else int(conv_id)
 
 
+def ends_of(found: DataFrame, chain: Chain) -> DataFrame:
+    """c, s (conversation and segment), entry (the state before it, null at a start), last (its last line's state), final:
+    for the segments of conversations that have several. A segment is 36 numbers here."""
+    long = found.filter("not opens").select(F.col("conv_id").alias("c")).distinct()
+    parts = found.join(long, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(row.conv_id, row.segment, chain.across(features(lines_of(row)[0], bool(row.opens), bool(row.blank)), bool(row.opens)).ravel()) for row in frame.itertuples(index=False)]
+            out = pd.DataFrame(rows, columns=["c", "s", "product"])
+            yield out.assign(c=pd.array([key(c) for c in out["c"]], "Int64"))
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("s")
+        last = chained([np.asarray(p).reshape(STATES, STATES) for p in frame["product"]])
+        ends = {"entry": pd.array([None, *last[:-1]], "Int32"), "last": last, "final": [False] * (len(last) - 1) + [True]}
+        return pd.DataFrame({"c": pd.array([key(c) for c in frame["c"]], "Int64"), "s": frame["s"].to_numpy(), **ends})
+
+    values = parts.mapInPandas(products, "c long, s long, product array<double>")
+    return values.groupBy("c").applyInPandas(lambda frame: joined(frame), "c long, s long, entry int, last int, final boolean")
+
+
 SCHEMA = "conv_id long, segment long, held_out boolean, n_turns long, n_lines long, found_turns long, roles string, lines_known long, lines_right long, rendered string"
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """A row per segment: the turns and roles recovered from its raw transcript, how many lines' roles are right, the rendering."""
-    found = stage(segments(conversations), "segments")
+    """A row per segment of SLAB turns: the turns and roles recovered from its raw transcript, how many lines' roles are
+    right, the rendering."""
+    found = stage(settled(stage(segments(conversations), "segments")), "conversations")
     chain = learn(found)
+    ends = stage(ends_of(found, chain), "ends")
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for conv_id, segment, turns in zip(frame["conv_id"], frame["segment"], frame["turns"], strict=True):
-                conv_id = key(conv_id)
-                lines, truth = write_transcript(conv_id, [(t["turn"], t["role"], t["text"]) for t in turns])
-                states = chain.path(features(lines))
-                parsed = turns_of(lines, states)
+            for row in frame.itertuples(index=False):
+                conv_id, (lines, truth) = key(row.conv_id), lines_of(row)
+                entry, last = (None if pd.isna(x) else int(x) for x in (row.entry, row.last))
+                states = chain.path(features(lines, bool(row.opens), bool(row.blank)), entry, last)
+                blocks = blocks_of(lines, states, entry)
                 known = [(s, t) for s, t in zip(states, truth, strict=True) if t >= 0]
                 held = conv_id is not None and zlib.crc32(str(conv_id).encode()) % FOLDS == 0
-                rows.append((conv_id, segment, held, len(turns), len(lines), len(parsed), ",".join(r for r, _ in parsed), len(known), sum(s // 2 == t // 2 for s, t in known), render(parsed)))
+                new = [role for role, _ in blocks if role]
+                rows.append((conv_id, row.segment, held, len(row.turns), len(lines), len(new), ",".join(new), len(known), sum(s // 2 == t // 2 for s, t in known), rendered(blocks, last is None or bool(row.final))))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             yield out.assign(conv_id=out["conv_id"].astype("Int64"))
 
-    return found.mapInPandas(parse, SCHEMA)
+    met = found.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s")), "left").drop("c", "s")
+    return met.mapInPandas(parse, SCHEMA)
 
 
 def parse_transcript(chain: Chain, transcript: str) -> list[tuple[str, str]]:
