@@ -13,8 +13,9 @@ segments of SLAB turns, so none gathers in one task, whatever its length and eve
 yet a conversation is parsed as a whole. For every segment of a long one, max-plus products of the transition and
 emission scores give the best value from each state before it to each state at its end; these few numbers are chained
 along the conversation, which fixes the state before and at the end of each segment as Viterbi's path over all lines
-has them, and inside a segment the path between the two is the whole path's. Segments' renderings, put one behind the
-other, are the conversation's.
+has them, and inside a segment the path between the two is the whole path's. Of equally good paths the one with the
+lowest states counts, from the last line on; scores are multiples of one over GRAIN, so that sums are the same in any
+order. Segments' renderings, put one behind the other, are the conversation's.
 
 Defined cases: identical rows are turns of their own; null text is the empty text; a null role, or one other than
 system, user and assistant, is written without a marker and not counted as right or wrong; null turns stand first; a
@@ -49,6 +50,8 @@ STYLES = (
 #: Names that say a role.
 NAMES = {"system": 0, "sys": 0, "context": 0, "instructions": 0, "user": 1, "human": 1, "q": 1, "me": 1, "customer": 1, "assistant": 2, "ai": 2, "bot": 2, "a": 2, "model": 2, "agent": 2}
 MARKER = re.compile(r"^\s*(?:#{1,6}\s*(?P<a>[A-Za-z]+)\s*:?\s*$|\[(?P<b>[A-Za-z]+)\]\s*:?|<\|?(?P<c>[A-Za-z]+)\|?>|\*\*(?P<d>[A-Za-z]+):?\*\*:?|(?P<e>[A-Za-z]+)\s?[:>](?=\s|$))[ \t]*")
+#: Scores are whole multiples of one over this.
+GRAIN = 2**20
 STATES = 2 * len(ROLES)  # role * 2 + (1 inside)
 #: Numbers of values of the features: marker, words, asks, first, after a blank line.
 SIZES = (4, 6, 2, 2, 2)
@@ -94,7 +97,7 @@ class Chain:
         """Log probabilities from counts laid out as start, steps, then a table for each feature."""
         cuts = np.cumsum([STATES, STATES * STATES, *(STATES * n for n in SIZES)])
         start, step, *emit = np.split(counts + 0.5, cuts[:-1])
-        logs = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
+        logs = lambda x: np.round(np.log(x / x.sum(axis=-1, keepdims=True)) * GRAIN) / GRAIN
         return Chain(logs(start), logs(step.reshape(STATES, STATES)), [logs(e.reshape(STATES, n)) for e, n in zip(emit, SIZES, strict=True)])
 
     def said(self, seen: np.ndarray) -> np.ndarray:
@@ -104,16 +107,30 @@ class Chain:
         """Viterbi's states for a transcript's features, behind a given state and with a given last one."""
         if not len(seen):
             return []
+        best, back = self.forward(seen, self.start if before is None else self.step[before])
+        out = [int(best.argmax()) if last is None else last]
+        for t in range(len(seen) - 1, 0, -1):
+            out.append(int(back[t, out[-1]]))
+        return out[::-1]
+
+    def forward(self, seen: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best value of each last state, and for every line and state the state before it."""
         said = self.said(seen)
-        best, back = (self.start if before is None else self.step[before]) + said[0], np.zeros((len(seen), STATES), np.int64)
+        best, back = first + said[0], np.zeros((len(seen), STATES), np.int64)
         for t in range(1, len(seen)):
             ways = best[:, None] + self.step
             back[t] = ways.argmax(axis=0)
             best = ways[back[t], np.arange(STATES)] + said[t]
-        out = [int(best.argmax()) if last is None else last]
+        return best, back
+
+    def entries(self, seen: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+        """For each last state the state before these lines on the best path, given the best values there."""
+        ways = ahead[:, None] + self.step
+        at = np.arange(STATES)
+        _, back = self.forward(seen, ways.max(axis=0))
         for t in range(len(seen) - 1, 0, -1):
-            out.append(int(back[t, out[-1]]))
-        return out[::-1]
+            at = back[t, at]
+        return ways.argmax(axis=0)[at]
 
     def across(self, seen: np.ndarray, first: bool) -> np.ndarray:
         """The best value from each state before these lines to each state of the last one; all rows are alike at a
@@ -125,17 +142,6 @@ class Chain:
         return best
 
 
-def chained(products: list[np.ndarray]) -> list[int]:
-    """The last state of every segment on the best path, given across() of the segments in order."""
-    values = [products[0][0]]
-    for p in products[1:]:
-        values.append((values[-1][:, None] + p).max(axis=0))
-    out = [int(values[-1].argmax())]
-    for value, p in zip(values[-2::-1], products[:0:-1], strict=True):
-        out.append(int((value + p[:, out[-1]]).argmax()))
-    return out[::-1]
-
-
 def count(lines: list[str], states: list[int], first: bool = True, before: int = -1, blank: bool = False) -> np.ndarray:
     """before: the true state of the line ahead, -1 if there is none or it is unknown."""
     start, step = np.zeros(STATES), np.zeros((STATES, STATES))
@@ -215,7 +221,7 @@ def settled(found: DataFrame) -> DataFrame:
     def tails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             ends = [tail(key(c), key(t["turn"]), t["role"], t["text"]) for c, t in zip(frame["conv_id"], frame["t"], strict=True)]
-            yield pd.DataFrame({"c": pd.array([key(c) for c in frame["conv_id"]], "Int64"), "s": frame["segment"] + 1, "before": [e[0] for e in ends], "blank": [e[1] for e in ends]})
+            yield pd.DataFrame({"c": whole_numbers(frame["conv_id"]), "s": frame["segment"] + 1, "before": [e[0] for e in ends], "blank": [e[1] for e in ends]})
 
     first = found.filter("segment = 0").withColumns({"opens": F.lit(True), "before": F.lit(-1), "blank": F.lit(False)})
     full = found.filter(F.size("turns") == SLAB).select("conv_id", "segment", F.element_at("turns", -1).alias("t"))
@@ -262,16 +268,42 @@ def ends_of(found: DataFrame, chain: Chain) -> DataFrame:
         for frame in frames:
             rows = [(row.conv_id, row.segment, chain.across(features(lines_of(row)[0], bool(row.opens), bool(row.blank)), bool(row.opens)).ravel()) for row in frame.itertuples(index=False)]
             out = pd.DataFrame(rows, columns=["c", "s", "product"])
-            yield out.assign(c=pd.array([key(c) for c in out["c"]], "Int64"))
+            yield out.assign(c=whole_numbers(out["c"]))
+
+    def forward(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, value, ahead = frame.sort_values("s"), None, []
+        for p in frame["product"]:
+            p = np.asarray(p).reshape(STATES, STATES)
+            ahead.append(value)
+            value = p[0] if value is None else (value[:, None] + p).max(axis=0)
+            value = value - value.max()
+        last = pd.array([None] * (len(frame) - 1) + [int(value.argmax())], "Int32")
+        return pd.DataFrame({"c": whole_numbers(frame["c"]), "s": frame["s"].to_numpy(), "ahead": ahead, "last": last})
+
+    def entered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            states = [None if a is None else chain.entries(features(lines_of(r)[0], False, bool(r.blank)), np.asarray(a)) for r, a in zip(frame.itertuples(index=False), frame["ahead"], strict=True)]
+            yield pd.DataFrame({"c": whole_numbers(frame["conv_id"]), "s": frame["segment"], "entries": states, "last": frame["last"].astype("Int32")})
 
-    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+    def backward(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("s")
-        last = chained([np.asarray(p).reshape(STATES, STATES) for p in frame["product"]])
-        ends = {"entry": pd.array([None, *last[:-1]], "Int32"), "last": last, "final": [False] * (len(last) - 1) + [True]}
-        return pd.DataFrame({"c": pd.array([key(c) for c in frame["c"]], "Int64"), "s": frame["s"].to_numpy(), **ends})
+        last, out = int(frame["last"].iloc[-1]), []
+        for entries in frame["entries"].iloc[::-1]:
+            entry = None if entries is None else int(entries[last])
+            out.append((entry, last))
+            last = entry
+        entry, last = zip(*out[::-1], strict=True)
+        return pd.DataFrame({"c": whole_numbers(frame["c"]), "s": frame["s"].to_numpy(), "entry": pd.array(entry, "Int32"), "last": last, "final": [False] * (len(last) - 1) + [True]})
 
     values = parts.mapInPandas(products, "c long, s long, product array<double>")
-    return values.groupBy("c").applyInPandas(lambda frame: joined(frame), "c long, s long, entry int, last int, final boolean")
+    ahead = values.groupBy("c").applyInPandas(lambda frame: forward(frame), "c long, s long, ahead array<double>, last int")
+    met = parts.join(ahead, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s"))).drop("c", "s")
+    back = met.mapInPandas(entered, "c long, s long, entries array<int>, last int")
+    return back.groupBy("c").applyInPandas(lambda frame: backward(frame), "c long, s long, entry int, last int, final boolean")
+
+
+def whole_numbers(column: pd.Series) -> pd.Series:
+    return pd.array([key(x) for x in column], "Int64")
 
 
 SCHEMA = "conv_id long, segment long, held_out boolean, n_turns long, n_lines long, found_turns long, roles string, lines_known long, lines_right long, rendered string"
