@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import free, stage, text_column, width
+from waymark.llm.common import free, stage, text_column, text_slices, width
 from waymark.llm.components import components
 
 WORDS = 5
@@ -111,19 +112,19 @@ LABELS = [f"{x}{i}" for x in "hl" for i in range(TREES)]
 def signatures(docs: DataFrame) -> DataFrame:
     """uid, doc_id, h (of the text), digest (of the set), n, h0.., l0.. (a label per tree; 0 for an empty set)."""
 
-    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            digests, sizes, keys = [], [], []
-            for text in frame["text"]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            digests, sizes, keys = [], [], np.zeros((part.num_rows, 2 * TREES), np.int64)
+            for i, text in enumerate(part.column(3).to_pylist()):
                 values = shingles(text)
                 digests.append(xxhash.xxh3_128_digest(values.tobytes()))
                 sizes.append(len(values))
-                keys.append(labels(values).ravel().view(np.int64) if len(values) else np.zeros(2 * TREES, np.int64))
-            table = pd.DataFrame(np.array(keys, np.int64).reshape(len(frame), 2 * TREES), columns=LABELS)
-            yield pd.concat([frame[["uid", "doc_id", "h"]].reset_index(drop=True), pd.DataFrame({"digest": digests, "n": sizes}), table], axis=1)
+                if len(values):
+                    keys[i] = labels(values).ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(k)) for k in keys.T)], names=["uid", "doc_id", "h", "digest", "n", *LABELS])
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), text_column().alias("text"))
-    return rows.mapInPandas(sign, "uid long, doc_id long, h binary, digest binary, n long, " + ", ".join(f"{k} long" for k in LABELS))
+    return rows.mapInArrow(sign, "uid long, doc_id long, h binary, digest binary, n long, " + ", ".join(f"{k} long" for k in LABELS))
 
 
 def forest(classes: DataFrame) -> DataFrame:
@@ -251,11 +252,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     w = wanted.alias("w").hint("merge")
     pairs = texts.join(w, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.h") == F.col("w.h"))).select("node", "before", "cluster", "copies", "text")
 
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.drop(columns="text").assign(values=[shingles(t).view(np.int64) for t in frame["text"]])
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            values = [shingles(t).view(np.int64) for t in part.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(values, pa.list_(pa.int64()))], names=["node", "before", "cluster", "copies", "values"])
 
-    return pairs.mapInPandas(make, "node long, before long, cluster long, copies long, values array<long>").dropDuplicates(["node"])
+    return pairs.mapInArrow(make, "node long, before long, cluster long, copies long, values array<long>").dropDuplicates(["node"])
 
 
 def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words in each of the two generations that a worker keeps (about 200 bytes a word).
-MOST_WORDS = 500_000
+#: Words in each of the two generations that a worker keeps (about 200 bytes a word), unless it is told otherwise.
+MOST_WORDS = 350_000
 LONGEST_WORD = 64
 #: Characters that normalise alone and lower-case the same in any context; other words go to the tokenizer singly.
 PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]+").fullmatch
@@ -34,7 +34,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Subwords:
     """ids(texts): for each text the little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, most: int = MOST_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
@@ -42,7 +42,7 @@ class Subwords:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.known = Generations()
+        self.known = Generations(most)
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -107,8 +107,9 @@ class Generations(dict):
     """Words and their ids. One that is missing is promoted from the old, or noted as fresh and holds None until it is
     learnt. When the young are too many they become the old, and those that nobody asked for meanwhile go."""
 
-    def __init__(self):
+    def __init__(self, most: int):
         super().__init__()
+        self.most = most
         self.old: dict[str, bytes] = {}
         self.fresh: list[str] = []
 
@@ -119,7 +120,7 @@ class Generations(dict):
         return value
 
     def age(self) -> None:
-        if len(self) > MOST_WORDS:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
@@ -150,8 +151,8 @@ def words_of(text: str) -> tuple[list[str] | None, bool]:
 _subwords: dict[str, Subwords] = {}
 
 
-def shared_subwords(path: str) -> Subwords:
+def shared_subwords(path: str, most: int = MOST_WORDS) -> Subwords:
     """One per worker, so that its cache lives across tasks."""
     if path not in _subwords:
-        _subwords[path] = Subwords(path)
+        _subwords[path] = Subwords(path, most)
     return _subwords[path]
