@@ -125,7 +125,9 @@ def solved(edges: DataFrame, source: int, schema: str, solve: Callable[[Local],
     """The graph solved in one task, if it is counted small and its numbers are plain; None otherwise."""
     if dict(edges.dtypes)["w"] not in ("bigint", "double", "int"):
         return None
-    arcs = stage(edges.select("src", "dst", "w"), "arcs")
+    arcs = edges.select("src", "dst", "w")
+    if not arcs.inputFiles() or any("/arcs-" not in f for f in arcs.inputFiles()):
+        arcs = stage(arcs, "arcs")  # a staged table is read as it is
     if arcs.count() > MOST_LOCAL:
         return None
     whole = arcs.groupBy().applyInPandas(lambda frame: solve(Local(frame, source)), schema)
