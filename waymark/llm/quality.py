@@ -9,7 +9,8 @@ among the rows that may be learnt from. Everything is scored.
 
 Defined cases: null text is the empty text, scored like any other; rows may repeat, each is scored; labels that
 are null, other than 0 and 1, or of unknown documents are left aside; without both labels among the rows to learn
-from the score is the constant share of label 1 (0.5 with none); extra columns are ignored by score(), kept by keep().
+from the score is the constant share of label 1 (0.5 with none); of several labels of a document the greater counts, of
+several texts under one doc_id the one of the least hash is learnt from; extra columns are ignored by score(), kept by keep().
 """
 
 from __future__ import annotations
@@ -146,14 +147,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED) -> Fores
     """A forest from labelled documents outside the held-out fold, at most `most` of them."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
     sample = hashed_sample(usable.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", most)
-    texts = docs.select("doc_id", text_column().alias("text")).join(F.broadcast(sample), "doc_id")  # `most` rows of 12 bytes
+    texts = docs.select("doc_id", text_column().alias("text"), F.xxhash64(text_column()).alias("h")).join(F.broadcast(sample), "doc_id")  # `most` rows of 12 bytes
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             x = statistics_frame(frame["text"])
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "quality": frame["quality"], "x": list(x)})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "quality": frame["quality"], "h": frame["h"], "x": list(x)})
 
-    rows = texts.mapInPandas(measure, "doc_id long, quality int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    measured = texts.mapInPandas(measure, "doc_id long, quality int, h long, x array<double>")
+    rows = measured.groupBy("doc_id", "quality").agg(F.min_by("x", "h").alias("x")).orderBy("doc_id").toPandas()
     return fit(np.array(rows["x"].tolist(), float).reshape(len(rows), len(STATISTICS)), rows["quality"].to_numpy(float))
 
 
