@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import ann, chat, fingerprints, licenses, lm, mixing, ngram_join, packing, quality, secrets
+from waymark.llm import ann, chat, codes, fingerprints, licenses, lm, mixing, ngram_join, packing, quality, quality_rules, resampling, secrets
 from waymark.session import table
 
 
@@ -50,9 +50,23 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measured(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_fingerprints, op3_chat_format, op4_ngram_join, op5_mix_sources, op6_pack_sequences, op7_quality, op8_secret_scans, op9_license_scans, op10_lm_scores)}
+    first = (op1_nearest, op2_fingerprints, op3_chat_format, op4_ngram_join, op5_mix_sources, op6_pack_sequences, op7_quality, op8_secret_scans, op9_license_scans, op10_lm_scores)
+    return {f.__name__: f for f in (*first, op11_quality_rules, op12_resample, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.oracle_sql(), "op8_secret_scans": secrets.oracle_sql(), "op9_license_scans": licenses.oracle_sql()}
+    later = {"op11_quality_rules": quality_rules.oracle_sql(), "op12_resample": resampling.oracle_sql(), "op13_vector_codes": codes.oracle_sql()}
+    return later | {"op5_mix_sources": mixing.oracle_sql(), "op8_secret_scans": secrets.oracle_sql(), "op9_license_scans": licenses.oracle_sql()}
