@@ -1,3 +1,4 @@
+import heapq
 import itertools
 import json
 import random
@@ -10,6 +11,7 @@ from waymark.operators import prefix, race, reduce, scene, sssp, trace
 from waymark.plans import lanes, specs, sweeps
 from waymark.schema import TRACE
 from waymark.sources import generators, graphs
+from waymark.staging import keep
 
 #: Small graphs with their distances from vertex 0; None is unreachable.
 CASES = {
@@ -170,36 +172,60 @@ def test_scene(spark):
     assert scene.grid(vertices, 2).agg(F.sum("n")).first()[0] == 3
 
 
-def test_rounds_and_one_task_agree(spark, monkeypatch):
-    """Distances, bounded distances, hops and labels by bucketed rounds and over arrays."""
-    edges = spark.createDataFrame(generators.build("clusters", 200, 5)[1], "src long, dst long, w double")
-    whole = spark.createDataFrame([(a, b, int(w) % 3) for a, b, w in generators.build("sparse", 150, 2)[1]], "src long, dst long, w long")
-
-    def found():
-        out = []
-        for e in (edges, whole):
-            out += [sorted(map(tuple, sssp.distances(e, 0).collect())), sorted(map(tuple, sssp.distances(e, 0, 40).collect())), sorted(map(tuple, sssp.reachable(e, 0).collect()))]
-            out.append(sorted(tuple(r) for r in sssp.labels(e, 0).select("v", "label.length", "label.n_edges", "label.curr", "label.pred").collect()))
-        return out
-
-    small = found()
-    monkeypatch.setattr(sssp, "MOST_LOCAL", 0)
-    monkeypatch.setattr(sssp, "MOST_BROADCAST", 5)
-    assert found() == small
-
-
-def test_rounds_exchange_neither_arcs_nor_state(spark):
-    arcs, name = sssp.bucketed(spark.range(1000).selectExpr("id as src", "id % 7 as dst", "1 as w"), "src")
-    best, other = sssp.bucketed(spark.range(1000).selectExpr("id as v", "id as dist"), "v")
+def settled(arcs, source, bound=None):
+    """Least (length, arcs, predecessor) of every vertex, by a heap."""
+    out, heap = {}, [(0, 0, -1, source)]
+    while heap:
+        length, n, pred, v = heapq.heappop(heap)
+        if v not in out:
+            out[v] = (length, n, pred)
+            for a, b, w in arcs:
+                if a == v and (bound is None or length + w < bound):
+                    heapq.heappush(heap, (length + w, n + 1, v, b))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_rounds_against_a_heap(spark, monkeypatch, chunk):
+    """Distances, bounded distances, hops and labels, also where lists are cut."""
+    monkeypatch.setattr(sssp, "CHUNK", chunk)
+    floats = generators.build("clusters", 120, 5)[1]
+    whole = [(a, b, int(w) % 3) for a, b, w in generators.build("sparse", 150, 2)[1]]
+    for arcs, kind in ((floats, "double"), (whole, "long")):
+        edges = spark.createDataFrame(arcs, f"src long, dst long, w {kind}")
+        want = settled(arcs, 0)
+        assert {r["v"]: r["dist"] for r in sssp.distances(edges, 0).collect()} == {v: x[0] for v, x in want.items()}
+        assert {r["v"]: r["dist"] for r in sssp.distances(edges, 0, 40).collect()} == {v: x[0] for v, x in settled(arcs, 0, 40).items()}
+        assert {r["v"]: r["hops"] for r in sssp.reachable(edges, 0).collect()} == {v: x[0] for v, x in settled([(a, b, 1) for a, b, _ in arcs], 0).items()}
+        got = {r["v"]: (r["length"], r["n_edges"], r["pred"]) for r in sssp.labels(edges, 0).select("v", "label.length", "label.n_edges", "label.pred").collect()}
+        assert got == want
+
+
+def test_a_hub_is_cut_into_lists(spark, monkeypatch):
+    monkeypatch.setattr(sssp, "CHUNK", 100)
+    edges = spark.range(1, 2001).selectExpr("0L as src", "id as dst", "id % 7 as w")
+    lists = sssp.listed(edges).collect()
+    assert len(lists) == 20 and max(len(r["arcs"]) for r in lists) < 200
+    assert sssp.distances(edges, 0).count() == 2001
+
+
+def test_long_chains(spark):
+    arcs = spark.range(30).selectExpr("id as src", "id + 1 as dst", "1L as w")
+    assert sorted(map(tuple, sssp.distances(arcs, 0).collect())) == [(i, i) for i in range(31)]
+    assert [tuple(r) for r in sssp.distances(arcs.limit(0), 5).collect()] == [(5, 0)]
+
+
+def test_a_round_exchanges_once_and_reads_lists_in_place(spark):
+    lists, name = sssp.bucketed(sssp.listed(spark.range(2000).selectExpr("id as src", "id % 7 as dst", "1L as w")), "tail", "part")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = arcs.join(spark.range(50).selectExpr("id as src", "id as dist"), "src").groupBy("dst").count().withColumnRenamed("dst", "v").join(best, "v")
+        start = keep(spark.range(1).selectExpr("0L as v", "0 as part", "0L as best", "true as changed"), "state")
+        plan = spark.sql(sssp.rounds(f"parquet.`{start}`", name, 2))
         text = plan._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert text.count("Bucketed: true") == 2 and text.count("Exchange hashpartitioning") == 2  # the frontier and the candidates
-    sssp.dropped(arcs, name)
-    sssp.dropped(best, other)
+    assert text.count("Bucketed: true") == 2 and text.count("Exchange hashpartitioning") == 3  # the start, and each round's candidates
+    sssp.dropped(lists, name)
 
 
 def test_path_by_doubling(spark):

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators.prefix import running
-from waymark.operators.replay import distances_over_time
+from waymark.operators.replay import labels_over_time
 from waymark.operators.trace import LANE, is_kind
-from waymark.schema import BATCH, DSTRUCT, FOREST, HEAP, PIVOT, RECURSE, RELAX, SETTLE
+from waymark.schema import BATCH, DSTRUCT, FOREST, HEAP, NONE, PIVOT, RECURSE, RELAX, SETTLE
 
 
 def broken(rows: DataFrame, what: str) -> DataFrame:
@@ -64,17 +64,26 @@ def pull_sizes(trace: DataFrame, t: int) -> DataFrame:
     return broken(rows.filter(F.col("call_level").isNull() | (F.col("call_level") < 1) | (F.col("aux1") > most)), "pulled too many")
 
 
-#: Classes of an improvement of a settled vertex.
-CLASSES = ("strict-length", "equal-label")
+#: Classes of an improvement of a settled vertex: a shorter length, an equal one with a lesser label, the very label that
+#: it had; and, in a trace that is wrong about it, a greater label.
+CLASSES = ("strict-length", "lex-only", "equal-label", "no improvement")
 
 
 def late_improvements(trace: DataFrame, edges: DataFrame, source: int) -> DataFrame:
-    """lane, idx, v, settled_at, klass: vertices improved after they had settled; shorter, or as long as before."""
-    over_time = distances_over_time(trace, edges, source)
+    """lane, idx, v, settled_at, klass: vertices improved after they had settled, by how the new label (length, arcs,
+    vertex, predecessor) stands to the one before. A vertex that no improvement has reached has no length yet."""
+    over_time = labels_over_time(trace, edges, source)
+    far = F.lit(float("inf"))
+    length = F.coalesce(F.col("dist").cast("double"), far)
+    label = F.struct(length.alias("length"), F.col("n_edges").alias("n_edges"), F.col("v").cast("long").alias("curr"), F.col("pred").cast("long").alias("pred"))
+    steps = running(over_time.withColumn("label", label), ["lane", "v"], "idx", {"before": ("last", F.col("label"))}, inclusive=False)
+    zero, none = F.lit(0).cast("long"), F.lit(NONE).cast("long")
+    begin = F.struct(F.when(F.col("v") == source, 0.0).otherwise(far).alias("length"), zero.alias("n_edges"), F.col("v").cast("long").alias("curr"), none.alias("pred"))
     settles = trace.filter(is_kind(SETTLE)).groupBy("lane", F.col("vertex").cast("long").alias("v")).agg(F.min("idx").alias("settled_at"))
-    steps = running(over_time, ["lane", "v"], "idx", {"before": ("last", F.col("dist"))}, inclusive=False)
-    late = steps.join(settles, ["lane", "v"]).filter(F.col("idx") > F.col("settled_at"))
-    return late.select("lane", "idx", "v", "settled_at", F.when(F.col("dist") < F.coalesce("before", F.lit(float("inf"))), CLASSES[0]).otherwise(CLASSES[1]).alias("klass"))
+    late = steps.withColumn("before", F.coalesce("before", begin)).join(settles, ["lane", "v"]).filter(F.col("idx") > F.col("settled_at"))
+    shorter, same = F.col("label.length") < F.col("before.length"), F.col("label.length") == F.col("before.length")
+    klass = F.when(shorter, CLASSES[0]).when(same & (F.col("label") < F.col("before")), CLASSES[1]).when(F.col("label") == F.col("before"), CLASSES[2]).otherwise(CLASSES[3])
+    return late.select("lane", "idx", "v", "settled_at", klass.alias("klass"))
 
 
 def settled_once(trace: DataFrame) -> DataFrame:
@@ -104,7 +113,7 @@ def cut_groups(trace: DataFrame) -> DataFrame:
 
 
 def label_shapes(dist: DataFrame, labels: DataFrame) -> DataFrame:
-    """dist(lane, v, dist, pred) of a lane against the least labels (v, label): lane, v where either differs."""
-    wanted = labels.select("v", F.col("label.length").cast("double").alias("length"), F.col("label.pred").alias("want"))
-    met = dist.join(wanted, "v", "full")
-    return met.filter(~F.col("dist").eqNullSafe(F.col("length")) | ~F.col("pred").eqNullSafe(F.col("want"))).select("lane", "v")
+    """dist(lane, v, dist, pred) against the least labels (lane, v, label): lane, v and both where they differ."""
+    wanted = labels.select("lane", "v", F.col("label.length").cast("double").alias("length"), F.col("label.pred").alias("want"))
+    met = dist.join(wanted, ["lane", "v"], "full")
+    return met.filter(~F.col("dist").eqNullSafe(F.col("length")) | ~F.col("pred").eqNullSafe(F.col("want"))).select("lane", "v", "dist", "pred", "length", "want")

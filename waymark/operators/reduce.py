@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.parameters import degree_bound
+from waymark.operators.prefix import running
 from waymark.operators.sssp import distances
 from waymark.sources.graphs import ordered, prefix_sums
-from waymark.staging import stage
+from waymark.staging import discard, stage
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -107,3 +108,33 @@ def unmapped_arcs(rows: DataFrame, origins: DataFrame) -> DataFrame:
     named = rows.filter(F.col("edge") >= 0).join(origins, "edge").filter("orig_edge is not null")
     named = named.withColumn("edge", F.col("orig_edge").cast(dict(rows.dtypes)["edge"])).drop("orig_edge")
     return named.select(*rows.columns).unionByName(rows.filter(F.col("edge") < 0))
+
+
+def told_anew(rows: DataFrame, edges: DataFrame, source: int) -> DataFrame:
+    """lane, idx, edge, improved of the relaxations rows(lane, idx, edge) over edges(e, src, dst, w), told by distances on
+    these arcs alone: a row's candidate is its weight and the least candidate that came into its tail before it, and it
+    improves if no candidate into its head before it was as small.
+
+    The least candidates before a row are a running minimum of a value that itself depends on them; it is taken again until no
+    row changes, once for every arc of the longest chain of improvements, over slabs of a lane. Weights must not be negative."""
+    hits = stage(rows.join(edges.select(F.col("e").alias("edge"), "src", "dst", "w"), "edge").select("lane", "idx", "edge", "src", "dst", "w"), "hits")
+    kind = dict(hits.dtypes)["w"]
+
+    def before(found: DataFrame) -> DataFrame:
+        """found with `tail` and `head`: the least candidates into both before the row."""
+        into = found.select("lane", F.col("dst").alias("vertex"), "idx", F.col("made").alias("value"), F.lit("write").alias("what"))
+        asked = [found.select("lane", F.col(c).alias("vertex"), "idx", F.lit(None).cast(kind).alias("value"), F.lit(c).alias("what")) for c in ("src", "dst")]
+        rows = into.unionByName(asked[0]).unionByName(asked[1]).withColumn("at", 2 * F.col("idx") + (F.col("what") == "write").cast("int"))  # a row asks before it writes
+        seen = running(rows, ["lane", "vertex"], "at", {"least": ("min", F.col("value"))}, inclusive=False)
+        told = seen.filter("what != 'write'").groupBy("lane", "idx").agg(F.max(F.when(F.col("what") == "src", F.col("least"))).alias("tail"), F.max(F.when(F.col("what") == "dst", F.col("least"))).alias("head"))
+        return found.join(told, ["lane", "idx"])
+
+    found = stage(hits.withColumn("made", F.when(F.col("src") == source, F.col("w"))), "candidates")
+    while True:
+        again = stage(before(found).withColumn("new", F.when(F.col("src") == source, F.col("w")).otherwise(F.col("tail") + F.col("w"))), "candidates")
+        if not again.filter("not (new <=> made)").head(1):
+            break
+        old, found = found, again.select(*hits.columns, F.col("new").alias("made"))
+        discard(old)
+    better = F.col("made").isNotNull() & (F.col("dst") != source) & (F.col("head").isNull() | (F.col("made") < F.col("head")))
+    return again.select("lane", "idx", "edge", better.alias("improved"))

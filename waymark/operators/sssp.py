@@ -1,35 +1,37 @@
 """Shortest paths as delta iterations over DataFrames.
 
-Each round joins only the vertices improved in the round before with the arcs, keeps the least candidate per head
-(a partial aggregate before the exchange) and those that improve. Arcs and the best values so far are tables bucketed
-by vertex in the shared folder: a round exchanges the frontier and the candidates, and neither arcs nor state. A
-frontier is broadcast if it is counted small. A graph that is counted small as a whole (MOST_LOCAL arcs, about 100 MB)
-is solved by the same rounds in one task, over arrays; beyond that size nothing gathers.
+A round joins only the vertices improved in the round before with their arcs and keeps the least candidate per head (a
+partial aggregate before the exchange). Arcs are stored once, as lists of up to CHUNK per tail, in a table bucketed by
+tail, so that a round exchanges its candidates and the least values alone: rows of the state carry themselves through the
+same exchange as the candidates, which makes a round one stage. HOPS rounds are one statement and one job, whose result is staged in the
+shared folder: lineage stays short, and a lost executor costs one job's rounds. The same plan runs at every size.
+
+A tail with more than CHUNK arcs is cut into copies, told apart by `part`, with lists of their own, spread over the
+buckets; arcs of weight 0 lead from part 0 to the others. No task holds a hub's arcs.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.staging import discard, shared_dir, stage
+from waymark.staging import discard, forget, keep, shared_dir, stage
 
-#: A frontier of up to this many rows (about 40 bytes each) is broadcast.
+#: Arcs in one list, about 16 bytes each; a tail with more is cut.
+CHUNK = 4096
+#: Rounds in the first job, and in each that follows.
+HOPS, MORE_HOPS = 8, 16
+#: Tails that are cut, counted up to this many (16 bytes each), are broadcast to the arcs.
 MOST_BROADCAST = 200_000
-#: A graph of up to this many arcs (24 bytes each) is solved in one task.
-MOST_LOCAL = 4_000_000
 
 
-def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
-    """df as a table dealt by key into as many buckets as an exchange has partitions, and the table's name."""
+def bucketed(df: DataFrame, *keys: str) -> tuple[DataFrame, str]:
+    """df as a table dealt by the keys into as many buckets as an exchange has partitions, and the table's name."""
     spark, name = df.sparkSession, f"waymark_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name), name
 
 
@@ -38,111 +40,72 @@ def dropped(df: DataFrame, name: str) -> None:
     df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def relaxed(edges: DataFrame, start: DataFrame, candidate: Column, key: str, admit: Callable[[Column], Column] | None = None, most_rounds: int | None = None) -> DataFrame:
-    """The fixpoint of best(v): rows (v, best) of start, improved by candidate(best, src, dst, w) over arcs.
-
-    best may be a number or a struct; both compare. admit: a condition on candidates.
-    """
-    arcs, arcs_name = bucketed(edges, "src")
-    best, best_name = bucketed(start.select("v", key), "v")
-    frontier, n, rounds = stage(best, "frontier"), best.count(), 0
-    while n and (most_rounds is None or rounds < most_rounds):
-        near = F.broadcast(frontier) if n <= MOST_BROADCAST else frontier
-        made = arcs.join(near.withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v"), candidate.alias("new"))
-        if admit is not None:
-            made = made.filter(admit(F.col("new")))
-        made = made.groupBy("v").agg(F.min("new").alias("new"))
-        better = made.join(best, "v", "left").filter(F.col(key).isNull() | (F.col("new") < F.col(key))).select("v", F.col("new").alias(key))
-        following = stage(better, "frontier")
-        n = following.count()
-        if n:
-            changed = following.withColumnRenamed(key, "new")
-            merged, merged_name = bucketed(best.join(changed, "v", "full").select("v", F.coalesce("new", key).alias(key)), "v")
-            discard(frontier)
-            dropped(best, best_name)
-            best, best_name, frontier = merged, merged_name, following
-        rounds += 1
-    dropped(arcs, arcs_name)
-    return best
-
-
-class Local:
-    """The arcs of a small graph in order of their tails, vertices numbered in order."""
-
-    def __init__(self, frame: pd.DataFrame, source: int):
-        self.ids = np.unique(np.concatenate([frame["src"], frame["dst"], [source]]).astype(np.int64))
-        src, dst = np.searchsorted(self.ids, frame["src"]), np.searchsorted(self.ids, frame["dst"])
-        order = np.argsort(src, kind="stable")
-        self.dst, self.w = dst[order], frame["w"].to_numpy()[order]
-        self.first = np.searchsorted(src[order], np.arange(len(self.ids) + 1))
-        self.source = int(np.searchsorted(self.ids, source))
-
-    def out_of(self, frontier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the frontier's arcs, and their tails."""
-        n = self.first[frontier + 1] - self.first[frontier]
-        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[frontier], n)
-        return places, np.repeat(frontier, n)
-
-    def lengths(self, step: Callable[[np.ndarray, np.ndarray], np.ndarray], zero: np.ndarray, bound: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, least lengths) of the vertices reached; step(length, w) is the length behind an arc."""
-        best, reached = np.full(len(self.ids), zero), np.zeros(len(self.ids), bool)
-        reached[self.source] = True
-        frontier = np.array([self.source])
-        while len(frontier):
-            arcs, tails = self.out_of(frontier)
-            heads, new = self.dst[arcs], step(best[tails], self.w[arcs])
-            if bound is not None:
-                heads, new = heads[new < bound], new[new < bound]
-            order = np.lexsort((new, heads))
-            first = np.concatenate([[True], np.diff(heads[order]) != 0])[: len(order)]
-            heads, new = heads[order][first], new[order][first]
-            better = ~reached[heads] | (new < best[heads])
-            frontier = heads[better]
-            best[frontier], reached[frontier] = new[better], True
-        return self.ids[reached], best[reached]
-
-    def labels(self) -> pd.DataFrame:
-        """v and the least (length, n_edges, pred) of the vertices reached."""
-        n = len(self.ids)
-        length, count, pred, reached = np.full(n, np.zeros(1, self.w.dtype)), np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, bool)
-        reached[self.source] = True
-        frontier = np.array([self.source])
-        while len(frontier):
-            arcs, tails = self.out_of(frontier)
-            heads, new, hops = self.dst[arcs], length[tails] + self.w[arcs], count[tails] + 1
-            order = np.lexsort((tails, hops, new, heads))
-            order = order[np.concatenate([[True], np.diff(heads[order]) != 0])[: len(order)]]
-            heads, new, hops, tails = heads[order], new[order], hops[order], tails[order]
-            same = new == length[heads]
-            better = ~reached[heads] | (new < length[heads]) | (same & ((hops < count[heads]) | ((hops == count[heads]) & (tails < pred[heads]))))
-            frontier = heads[better]
-            length[frontier], count[frontier], pred[frontier], reached[frontier] = new[better], hops[better], tails[better], True
-        parents = np.where(pred >= 0, self.ids[np.maximum(pred, 0)], -1)
-        return pd.DataFrame({"v": self.ids, "length": length, "n_edges": count, "pred": parents})[reached]
-
-
-def solved(edges: DataFrame, source: int, schema: str, solve: Callable[[Local], pd.DataFrame]) -> DataFrame | None:
-    """The graph solved in one task, if it is counted small and its numbers are plain; None otherwise."""
-    if dict(edges.dtypes)["w"] not in ("bigint", "double", "int"):
-        return None
-    arcs = edges.select("src", "dst", "w")
-    if not arcs.inputFiles() or any("/arcs-" not in f for f in arcs.inputFiles()):
-        arcs = stage(arcs, "arcs")  # a staged table is read as it is
-    if arcs.count() > MOST_LOCAL:
-        return None
-    whole = arcs.groupBy().applyInPandas(lambda frame: solve(Local(frame, source)), schema)
-    return whole if arcs.head(1) else None
+def listed(edges: DataFrame) -> DataFrame:
+    """tail, part, arcs(v, part, w): the arcs of every tail, in lists of about CHUNK at most."""
+    w = dict(edges.dtypes)["w"]
+    arcs = edges.select(F.col("src").cast("long").alias("tail"), F.col("dst").cast("long").alias("v"), "w")
+    hubs = stage(arcs.groupBy("tail").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK), "hubs")
+    hubs = hubs.select("tail", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
+    n = hubs.count()
+    if n:
+        arcs = arcs.join(F.broadcast(hubs) if n <= MOST_BROADCAST else hubs, "tail", "left")
+        onward = hubs.filter("parts > 1").select("tail", F.lit(0).alias("part"), F.col("tail").alias("v"), F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("to"), F.lit(0).cast(w).alias("w"))
+        part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("parts").cast("long"))).cast("int")
+        arcs = arcs.select("tail", part.alias("part"), "v", F.lit(0).alias("to"), "w").unionByName(onward)
+    else:
+        arcs = arcs.select("tail", F.lit(0).alias("part"), "v", F.lit(0).alias("to"), "w")
+    return arcs.groupBy("tail", "part").agg(F.collect_list(F.struct("v", F.col("to").alias("part"), "w")).alias("arcs"))
+
+
+def rounds(state: str, lists: str, n: int, bound: str | None = None) -> str:
+    """SQL for state(v, part, best, changed) after n rounds: the least of each vertex's own value and the candidates over the
+    arcs of vertices that changed; candidates not below the bound are left out. state and lists are names of tables.
+
+    All rounds are one statement, so that the plan is analysed once."""
+    made = "transform(l.arcs, a -> struct(a.v AS v, a.part AS part, s.best + a.w AS best, false AS own))"
+    if bound is not None:
+        made = f"filter({made}, c -> c.best < {bound})"
+    own = "array(struct(s.v AS v, s.part AS part, s.best AS best, true AS own))"
+    one = f"""(SELECT v, part, best, old IS NULL OR best < old AS changed FROM (SELECT v, part, min(best) AS best, min(CASE WHEN own THEN best END) AS old FROM
+(SELECT inline(CASE WHEN l.arcs IS NULL THEN {own} ELSE concat({own}, {made}) END) FROM s{{i}} s LEFT JOIN {lists} l ON s.v = l.tail AND s.part = l.part AND s.changed) GROUP BY v, part))"""
+    steps = [f"s0 AS (SELECT v, part, best, changed FROM {state})", *(f"s{i + 1} AS {one.format(i=i)}" for i in range(n))]
+    return f"WITH {', '.join(steps)} SELECT * FROM s{n}"
+
+
+def fixed_session(spark: SparkSession) -> SparkSession:
+    """A session beside the caller's whose plans are settled before they run: rounds are dealt by the buckets, and planning
+    anew after every round would take longer than a small round does."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    return own
+
+
+def relaxed(edges: DataFrame, start: DataFrame, bound: float | None = None) -> DataFrame:
+    """The fixpoint of best(v): rows (v, best) of start, improved by best(src) + w over arcs; of least values below the
+    bound, if there is one."""
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["w"]
+    lists, name = bucketed(listed(edges), "tail", "part")
+    limit = None if bound is None else f"CAST('{bound}' AS {kind if bound == int(bound) else 'double'})"
+    first = start.select(F.col("v").cast("long").alias("v"), F.lit(0).alias("part"), F.col("best").cast(kind).alias("best"), F.lit(True).alias("changed"))
+    state, path, n, own = None, keep(first, "state"), HOPS, fixed_session(spark)
+    while state is None or state.filter("changed").head(1):
+        before, path = path, keep(own.sql(rounds(f"parquet.`{path}`", name, n, limit)), "state")
+        forget(spark, before)
+        state, n = spark.read.parquet(path), MORE_HOPS
+    dropped(lists, name)
+    return state.filter("part = 0").select("v", "best")
+
+
+def from_one(edges: DataFrame, source: int) -> DataFrame:
+    """(v, best): the source at 0."""
+    return edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("v"), F.lit(0).cast(dict(edges.dtypes)["w"]).alias("best"))
 
 
 def distances(edges: DataFrame, source: int, bound: float | None = None) -> DataFrame:
     """(v, dist) of every vertex reached; with a bound, only over candidates below it."""
-    kind = dict(edges.dtypes)["w"]
-    small = solved(edges, source, f"v long, dist {kind}", lambda g: pd.DataFrame(dict(zip(("v", "dist"), g.lengths(lambda d, w: d + w, np.zeros(1, g.w.dtype), bound), strict=True))))
-    if small is not None:
-        return small
-    start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("v"), F.lit(0).cast(kind).alias("dist"))
-    admit = None if bound is None else (lambda c: c < F.lit(bound))
-    return relaxed(edges, start, F.col("dist") + F.col("w"), "dist", admit)
+    return relaxed(edges, from_one(edges, source), bound).withColumnRenamed("best", "dist")
 
 
 def label(length: Column, n_edges: Column, curr: Column, pred: Column) -> Column:
@@ -150,30 +113,36 @@ def label(length: Column, n_edges: Column, curr: Column, pred: Column) -> Column
 
 
 def labels(edges: DataFrame, source: int) -> DataFrame:
-    """(v, label) by the order of (length, number of arcs, vertex, predecessor); -1 stands for no predecessor."""
-    kind = dict(edges.dtypes)["w"]
-    small = solved(edges, source, f"v long, length {kind}, n_edges long, pred long", Local.labels)
-    if small is not None:
-        return small.select("v", label(F.col("length"), F.col("n_edges"), F.col("v"), F.col("pred")).alias("label"))
-    start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("v"), label(F.lit(0).cast(kind), F.lit(0), F.lit(source), F.lit(-1)).alias("label"))
-    return relaxed(edges, start, label(F.col("label.length") + F.col("w"), F.col("label.n_edges") + 1, F.col("dst"), F.col("src")), "label")
+    """(v, label) by the order of (length, number of arcs, vertex, predecessor); -1 stands for no predecessor.
+
+    The order is taken apart: least lengths first; over the arcs that are tight by them, the least numbers of arcs;
+    over those that are tight by both, the least predecessor. Each is a fixpoint or a minimum of plain numbers."""
+    dist = stage(distances(edges, source), "dist")
+    arcs = stage(tight(edges, dist).select("src", "dst", F.lit(1).cast("long").alias("w")), "arcs")
+    hops = stage(relaxed(arcs, from_one(arcs, source)), "hops")
+    count = hops.withColumnRenamed("best", "n_edges")
+    tails, heads = count.withColumnsRenamed({"v": "src", "n_edges": "before"}), count.withColumnsRenamed({"v": "dst"})
+    preds = arcs.join(tails, "src").join(heads, "dst").filter("before + 1 = n_edges").groupBy(F.col("dst").alias("v")).agg(F.min("src").alias("pred"))
+    met = dist.join(count, "v").join(preds, "v", "left")
+    return met.select("v", label(F.col("dist"), F.col("n_edges"), F.col("v"), F.coalesce("pred", F.lit(-1))).alias("label"))
 
 
 def reachable(edges: DataFrame, source: int) -> DataFrame:
     """(v, hops) of every vertex reached: its least number of arcs."""
-    edges = edges.withColumn("w", F.lit(1).cast("long"))
-    small = solved(edges, source, "v long, hops long", lambda g: pd.DataFrame(dict(zip(("v", "hops"), g.lengths(lambda d, w: d + w, np.zeros(1, np.int64)), strict=True))))
-    if small is not None:
-        return small
-    start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("v"), F.lit(0).cast("long").alias("hops"))
-    return relaxed(edges, start, F.col("hops") + 1, "hops")
+    steps = edges.select("src", "dst", F.lit(1).cast("long").alias("w"))
+    return relaxed(steps, from_one(steps, source)).withColumnRenamed("best", "hops")
 
 
-def tight_predecessors(edges: DataFrame, dist: DataFrame) -> DataFrame:
-    """(v, pred): the least u with dist(u) + w = dist(v); across weight 0, u is before v in (dist, id)."""
+def tight(edges: DataFrame, dist: DataFrame) -> DataFrame:
+    """src, dst, w, du, dv of the arcs between vertices of dist(v, dist) with dist(src) + w = dist(dst)."""
     tails = dist.select(F.col("v").alias("src"), F.col("dist").alias("du"))
     heads = dist.select(F.col("v").alias("dst"), F.col("dist").alias("dv"))
-    met = edges.join(tails, "src").join(heads, "dst").filter((F.col("du") + F.col("w") == F.col("dv")) & ((F.col("du") < F.col("dv")) | (F.col("src") < F.col("dst"))))
+    return edges.select("src", "dst", "w").join(tails, "src").join(heads, "dst").filter(F.col("du") + F.col("w") == F.col("dv"))
+
+
+def tight_predecessors(edges: DataFrame, dist: DataFrame) -> DataFrame:
+    """(v, pred): the least u with dist(u) + w = dist(v); across weight 0, u is before v in (dist, id)."""
+    met = tight(edges, dist).filter((F.col("du") < F.col("dv")) | (F.col("src") < F.col("dst")))
     return met.groupBy(F.col("dst").alias("v")).agg(F.min("src").alias("pred"))
 
 

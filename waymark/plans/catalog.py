@@ -543,4 +543,4 @@ def kt_sweep_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweeps.kt_sweep(spark, ("maze", "sparse", "adversarial"), (500,), (0, 1), (2, 6, 12), sweeps.VARIANTS, "forest")
 
 
-from waymark.plans import lane_queries  # noqa: E402, F401  registers its queries here
+from waymark.plans import lane_queries, table_queries  # noqa: E402, F401  they register their queries here

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import parameters
-from waymark.operators import audits, lists, playback, race, reduce, replay, scene, sssp, trace
+from waymark.operators import lists, playback, race, reduce, scene, sssp, trace
 from waymark.plans import catalog, finish, specs
 from waymark.plans import lanes as lane_plans
 from waymark.plans.catalog import ARCS, DRAWS, EVENT_TRACE, FULL, LANES, PLACES, SEED, SEED_N, T_MARK, event_trace, first_vertex, lanes, placed, query, stand_in_arcs, with_tr
@@ -38,16 +38,6 @@ def run_edges(spark: SparkSession) -> DataFrame:
     return stage(graphs.packed(generators.adversarial_arcs(spark, SEED_N, SEED)), "arcs")
 
 
-@query(f"WITH RECURSIVE {ADVERSARIAL} SELECT CAST(lane AS INT) AS lane, v, d AS dist FROM r, range(3) AS l(lane)")
-def replay_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.distances(run_rows(spark), run_edges(spark), 0)
-
-
-@query(f"WITH RECURSIVE {ADVERSARIAL}, {UP} SELECT CAST(lane AS INT) AS lane, v, pred FROM up, range(3) AS l(lane)")
-def replay_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace.replayed(run_rows(spark), run_edges(spark))
-
-
 @query(f"WITH RECURSIVE {ADVERSARIAL}, {UP} SELECT CAST(lane AS INT) AS lane, v, d AS dist, coalesce(pred, -1) AS pred FROM r LEFT JOIN up USING (v), range(3) AS l(lane)")
 def lane_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_results(spark)
@@ -59,72 +49,6 @@ def settle_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("vertex").cast("long").alias("v"), F.col("aux0").cast("long").alias("nth"))
 
 
-def per_lane(spark: SparkSession, broken: DataFrame, which: tuple[int, ...]) -> DataFrame:
-    """lane, violations, for the lanes that an audit is meant for."""
-    counted = broken.groupBy("lane").agg(F.count("*").alias("n"))
-    return spark.createDataFrame([(i,) for i in which], "lane int").join(counted, "lane", "left").select("lane", F.coalesce("n", F.lit(0)).cast("long").alias("violations"))
-
-
-def clean(which: tuple[int, ...]) -> str:
-    """No lane breaks a rule."""
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, 0)" for i in which) + ") AS c(lane, violations)"
-
-
-def settled_distances(spark: SparkSession) -> DataFrame:
-    return run_results(spark).select("lane", "v", "dist")
-
-
-@query(clean((0,)))
-def audit_settle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_lane(spark, audits.settle_order(run_rows(spark).filter("lane = 0"), settled_distances(spark)), (0,))
-
-
-@query(clean((1, 2)))
-def audit_bounded_settles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_lane(spark, audits.bounded_settles(run_rows(spark).filter("lane > 0"), settled_distances(spark)), (1, 2))
-
-
-@query(clean((1,)))
-def audit_heap_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_lane(spark, audits.heap_levels(run_rows(spark).filter("lane = 1")), (1,))
-
-
-@query(clean((1,)))
-def audit_pull_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_lane(spark, audits.pull_sizes(run_rows(spark).filter("lane = 1"), parameters.bounded(SEED_N).t), (1,))
-
-
-@query(clean((0, 1, 2)))
-def audit_late_improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_lane(spark, audits.late_improvements(run_rows(spark), run_edges(spark), 0), (0, 1, 2))
-
-
-@query(clean((0, 1, 2)))
-def audit_settled_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_lane(spark, audits.settled_once(run_rows(spark)), (0, 1, 2))
-
-
-@query(clean((0, 1, 2)))
-def audit_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_lane(spark, audits.nesting(run_rows(spark)), (0, 1, 2))
-
-
-@query(clean((0, 1, 2)))
-def audit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_lane(spark, audits.batches(run_rows(spark), SEED_N, 2 * (SEED_N - 1)), (0, 1, 2))
-
-
-@query(clean((2,)))
-def audit_cut_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_lane(spark, audits.cut_groups(run_rows(spark).filter("lane = 2")), (2,))
-
-
-@query(clean((2,)))
-def audit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audits.label_shapes(run_results(spark).filter("lane = 2"), sssp.labels(generators.adversarial_arcs(spark, SEED_N, SEED), 0))
-    return per_lane(spark, found, (2,))
-
-
 @query(with_tr(""", g AS (SELECT *, kind = 4 AND aux0 = 0 AS s, sum(CASE WHEN kind = 7 OR (kind = 5 AND aux0 = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY lane ORDER BY idx ROWS UNBOUNDED PRECEDING) AS grp FROM tr)
 SELECT lane, idx, aux0 = 0 AS open, aux1 AS level, aux2 AS size, n AS round FROM (SELECT *, count(*) FILTER (s) OVER (PARTITION BY lane, grp ORDER BY idx ROWS UNBOUNDED PRECEDING) AS n FROM g) WHERE kind = 4"""))
 def batch_state(spark: SparkSession, sf_dir: str) -> DataFrame:

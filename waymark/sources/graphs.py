@@ -39,16 +39,19 @@ def ordered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     its part behind the parts before. No key gathers in a task, and one number a part reaches the driver."""
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    place = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id())
+    own = "_place"
+    while own.lower() in {c.lower() for c in rows.columns}:
+        own = f"_{own}"
+    place = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn(own, F.monotonically_increasing_id())
     placed = stage(place, "ordered")
-    part = F.shiftright("_place", 33)
+    part = F.shiftright(own, 33)
     before, total = {}, 0
     for r in sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
         before[r["part"]], total = total, total + r["n"]
     if not before:
-        return placed.select(*rows.columns, F.col("_place").alias(name))
+        return placed.select(*rows.columns, F.col(own).alias(name))
     firsts = F.create_map(*(F.lit(int(x)).cast("long") for pair in before.items() for x in pair))
-    return placed.select(*rows.columns, (firsts[part] + F.col("_place").bitwiseAND(F.lit(2**33 - 1))).alias(name))
+    return placed.select(*rows.columns, (firsts[part] + F.col(own).bitwiseAND(F.lit(2**33 - 1))).alias(name))
 
 
 def packed(edges: DataFrame) -> DataFrame:
@@ -79,17 +82,25 @@ def offsets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def violations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: how many arcs or vertices break each rule of a graph; vertices may have places x and y."""
-    known = vertices.select(F.col("v").alias("known"))
-    loose = edges.select(F.col("src").alias("known")).union(edges.select("dst")).join(known, "known", "left_anti").count()
-    doubled = edges.groupBy("src", "dst").count().filter("count > 1").count()
+    """One row: how many arcs or vertices break each rule of a graph; vertices may have places x and y.
+
+    One plan: arcs are counted by their two ends with what is wrong about them, pairs meet the vertices, and one last
+    aggregate adds what was found."""
     infinite = F.lit(float("inf"))
+    w = F.col("w").cast("double")
+    bad = F.col("w").isNull() | F.isnan(w) | (w < 0) | (w == infinite)
     nowhere = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == infinite) for c in ("x", "y") if c in vertices.columns]
-    unplaced = vertices.filter(nowhere[0] | nowhere[1]).count() if len(nowhere) == 2 else 0
-    bad = F.isnan(F.col("w").cast("double")) | (F.col("w") < 0) | (F.col("w").cast("double") == infinite) | F.col("w").isNull()
-    return edges.agg(
-        F.count("*").alias("arcs"), F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.count_if(bad).alias("bad_weights"), F.lit(loose).cast("long").alias("loose_ends"), F.lit(doubled).cast("long").alias("doubled"), F.lit(unplaced).cast("long").alias("unplaced"),
+    unplaced = F.count_if(nowhere[0] | nowhere[1]) if len(nowhere) == 2 else F.lit(0).cast("long")
+    pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
+    known = vertices.select("v").distinct()
+    for end in ("src", "dst"):
+        pairs = pairs.join(known.select(F.col("v").alias(end), F.lit(True).alias(f"{end}_known")), end, "left")
+    loose = F.when(F.col("src_known").isNull(), F.col("n")).otherwise(0) + F.when(F.col("dst_known").isNull(), F.col("n")).otherwise(0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    found = pairs.agg(
+        total(F.col("n")).alias("arcs"), total(F.when(F.col("src") == F.col("dst"), F.col("n"))).alias("loops"), total(F.col("bad")).alias("bad_weights"), total(loose).alias("loose_ends"), F.count_if(F.col("n") > 1).alias("doubled"),
     )
+    return found.join(F.broadcast(vertices.agg(unplaced.alias("unplaced"))), F.lit(True))  # one row each
 
 
 def checked(vertices: DataFrame, edges: DataFrame) -> DataFrame:
