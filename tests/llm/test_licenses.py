@@ -32,6 +32,10 @@ CASES = {
     "Licensed under the GNU General Public License, version 2.": "0:GPL-2.0", "Licensed under the GNU Affero General Public License, version 3.": "0:AGPL-3.0", "This is licensed under the GNU Lesser General Public License, version 2.1": "0:LGPL",
     MIT: "MIT", BSD: "BSD", GPL: "GPL-3.0", GPL2: "GPL-2.0", APACHE: "Apache-2.0", AGPL: "AGPL-3.0",
     "The license plate of the car was unknown to the guard": "", "MIT is a school": "", "Copyright is a matter of law in most countries of the world": "", "": "", "All rights reserved. No license is granted.": "",
+    "The MIT license office issued a license for parking.": "", "This is not released under the MIT License.": "", "Creative Commons Attribution 3.0 Unported License": "", "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": "", "The firm is no longer licensed under the Apache License, Version 2.0.": "",
+    "We read the MIT license aloud and then went home to our families": "", "The GNU General Public License was much discussed at the meeting of the board": "",
+    "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991": "GPL-2.0", "Apache License\nVersion 2.0, January 2004": "Apache-2.0", "distributed under the MIT licence": "MIT", "Dual licensed under the MIT and GPL licenses": "MIT",
+    "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\")": "MPL-1.1", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007": "AGPL-3.0",
     "He sent a cc by mail to the creative director": "", "The gnu public met the general": "",
 }
 
@@ -45,11 +49,11 @@ def brute(text, m):
         for span in sorted({min(s, run) for s in licenses.SPANS}) if run else ():
             words = sum(lines[i : i + span], [])
             have = set(licenses.grams_of(words))
-            if not have & set(licenses.ANCHORS) or not (known := [m.vocabulary[g] for g in have if g in m.vocabulary]):
+            if not have & set(licenses.ANCHORS) or have & set(licenses.DENIALS) or not (known := [m.vocabulary[g] for g in have if g in m.vocabulary]):
                 continue
             z = (m.weights[known].sum(axis=0) + m.bias) / m.temperature
             best = int(z.argmax())
-            sure = {t.family for t in licenses.TEMPLATES if sum(g in have for g in licenses.grams(t.text)) >= t.needed and set(t.decisive) <= have}
+            sure = {t.family for t in licenses.TEMPLATES if sum(g in have for g in licenses.grams(t.text)) >= t.needed and len(have) <= t.most and set(t.decisive) <= have}
             if m.families[best] in sure and 1 / sum(math.exp(v - z[best]) for v in z) >= m.least:
                 found.append((m.families[best], i, span))
     out = []

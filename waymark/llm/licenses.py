@@ -7,7 +7,8 @@ regression over the n-grams of the training paragraphs gives every family and an
 training paragraphs are made here from the families' notices (words dropped and put in, neighbours added, by a seeded
 generator) and from prose that shares their words; the probabilities are calibrated by a temperature and the least
 probability by a held-out part of them. A prediction counts once a template of that family confirms it: the window
-holds the template's decisive words and at least CONFIRMED of its n-grams, or all of a template of up to three words.
+holds the template's decisive words (versions among them) and at least CONFIRMED of its n-grams, or all of a template of up to
+four words and little else. A window that holds one of DENIALS states no licence.
 Of overlapping windows that say the same family, the smallest tells the line.
 
 A window without a decisive word can't be confirmed, so only those with one are classified: this drops no finding.
@@ -32,44 +33,51 @@ from waymark.llm.common import stage, text_column
 IDENTIFIERS = {
     "MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "GPL-2.0": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPLv2"], "GPL-3.0": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPLv3"],
     "LGPL": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "LGPLv3"], "AGPL-3.0": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "AGPLv3"],
-    "BSD": ["BSD-2-Clause", "BSD-3-Clause"], "MPL-2.0": ["MPL-2.0"], "CC-BY-NC-4.0": ["CC-BY-NC-4.0"], "CC-BY-SA-4.0": ["CC-BY-SA-4.0"], "CC-BY-4.0": ["CC-BY-4.0"], "CC0": ["CC0-1.0"],
+    "BSD": ["BSD-2-Clause", "BSD-3-Clause"], "MPL-2.0": ["MPL-2.0"], "MPL-1.1": ["MPL-1.1"], "CC-BY-NC-4.0": ["CC-BY-NC-4.0"], "CC-BY-SA-4.0": ["CC-BY-SA-4.0"], "CC-BY-4.0": ["CC-BY-4.0"], "CC0": ["CC0-1.0"],
     "ISC": ["ISC"], "EPL-2.0": ["EPL-2.0"], "BSL-1.0": ["BSL-1.0"], "Unlicense": ["Unlicense"], "Zlib": ["Zlib"],
 }
 #: Sentences of notices, each with the words that decide, the rarest first.
 NOTICES = {
     "MIT": [
-        ("Released under the MIT License.", "license mit"), ("Licensed under the MIT license", "license mit"), ("This project is licensed under the terms of the MIT license", "license mit"), ("The MIT License (MIT)", "license mit"),
+        ("Released under the MIT License.", "license mit under"), ("Licensed under the MIT license", "license mit under"), ("This project is licensed under the terms of the MIT license", "license mit under"), ("The MIT License (MIT)", "license mit"),
+        ("Distributed under the MIT licence", "licence mit under"), ("Dual licensed under the MIT and GPL licenses", "licenses mit licensed"), ("Available under the MIT license, see the LICENSE file for details", "license mit under"),
         ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "hereby charge obtaining"),
         ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "substantial portions"),
     ],
     "Apache-2.0": [
         ("Licensed under the Apache License, Version 2.0.", "apache 2.0"), ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "apache 2.0"),
         ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "www.apache.org"), ("This work is licensed under the Apache 2.0 license", "apache 2.0"),
+        ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "apache 2.0"), ("Apache License Version 2.0, January 2004", "apache 2.0"),
     ],
     "GPL-2.0": [
         ("This work is licensed under the GNU General Public License, version 2.", "gnu general 2"), ("GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "gnu general 2"),
         ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "gnu general 2"),
+        ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "gnu general 2"),
     ],
     "GPL-3.0": [
         ("This work is licensed under the GNU General Public License, version 3.", "gnu general 3"), ("GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "gnu general 3"),
         ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation", "gnu general 3"),
+        ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "gnu general 3"),
     ],
     "LGPL": [
         ("Licensed under the GNU Lesser General Public License, version 2.1 or later.", "lesser gnu"), ("GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", "lesser gnu"),
         ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lesser gnu"), ("Licensed under the GNU Lesser General Public License, version 3.", "lesser gnu"),
+        ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "lesser gnu"), ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "lesser gnu"),
     ],
     "AGPL-3.0": [
         ("Licensed under the GNU Affero General Public License, version 3.", "affero gnu"), ("GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "affero gnu"),
         ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "affero gnu"),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "affero gnu"),
     ],
     "BSD": [
         ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution binary"), ("Licensed under the BSD 3-Clause License.", "bsd"), ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file", "bsd-style"),
         ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "redistributions retain"), ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation", "redistributions reproduce"),
     ],
-    "MPL-2.0": [("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public"), ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0", "mpl")],
-    "CC-BY-NC-4.0": [("Licensed under CC BY-NC 4.0.", "by-nc cc"), ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "attribution-noncommercial creative")],
-    "CC-BY-SA-4.0": [("Licensed under CC BY-SA 4.0.", "by-sa cc"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "attribution-sharealike creative")],
-    "CC-BY-4.0": [("Licensed under CC BY 4.0.", "4.0 cc by"), ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "attribution creative")],
+    "MPL-2.0": [("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2.0"), ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0", "mpl 2.0"), ("Mozilla Public License Version 2.0", "mozilla 2.0")],
+    "MPL-1.1": [("The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License", "mozilla 1.1"), ("Mozilla Public License Version 1.1", "mozilla 1.1")],
+    "CC-BY-NC-4.0": [("Licensed under CC BY-NC 4.0.", "by-nc cc"), ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "attribution-noncommercial creative 4.0")],
+    "CC-BY-SA-4.0": [("Licensed under CC BY-SA 4.0.", "by-sa cc"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "attribution-sharealike creative 4.0")],
+    "CC-BY-4.0": [("Licensed under CC BY 4.0.", "4.0 cc by"), ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "attribution creative 4.0")],
     "CC0": [("To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.", "cc0 waived"), ("This work is dedicated to the public domain, CC0 1.0 Universal license.", "cc0 1.0")],
     "ISC": [("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "hereby fee"), ("Licensed under the ISC License", "license isc")],
     "EPL-2.0": [("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "eclipse public")],
@@ -86,9 +94,15 @@ PROSE = [
     "Send me a cc of the letter by 4 o'clock", "The eclipse was public knowledge", "A boost in sales of version one", "MIT and other schools publish their source data", "The binary star system and the redistribution of mass", "Copyright 2020 by the author. All rights reserved.",
     "Portions of the text were substantial and without error", "We retain the right to reproduce this picture", "The Mozilla team spoke in public about the browser", "No part of this book may be copied without written permission of the publisher", "You must accept the license agreement before you install this program",
     "The law was waived for the author of the work", "Terms of use apply to this site and to the public pages", "The library is free and open at noon for all persons", "The creative director gave the attribution to her team", "An unencumbered estate was sold with a zlib of the key", "The compression library zlib is used by many programs",
+    "The MIT license office issued a license for parking", "She compared the MIT license with others in her talk", "A lawyer explained what the Apache License means for firms", "The history of the GNU General Public License is told in chapter three", "Many people have read the BSD license and few understood it",
+    "A license plate of the MIT car pool", "The Mozilla Public License was discussed at the meeting", "Creative Commons was founded in the year of the snake", "Which license is better, MIT or GPL, was asked in the forum", "The course covers the MIT license, patents and trade marks",
 ]
 #: Short notices, and the word that makes a name in them one of a licence.
 SHORT = {"SPDX-License-Identifier: {}": "spdx-license-identifier", "License: {}": "license", "{} License": "license", "Licensed under {}": "licensed"}
+#: Word pairs that deny a notice in the same window.
+DENIALS = ("not released", "not licensed", "not covered", "not under", "never released", "never licensed", "longer licensed", "longer released", "neither licensed", "neither released")
+#: A name of up to four words is confirmed in windows with at most so many n-grams beside it.
+BESIDE = 8
 TOKEN = r"[a-z0-9]+(?:[.\-+][a-z0-9]+)*"
 UNKNOWN = "unknown"
 SPANS = (1, 2, 4)
@@ -120,7 +134,16 @@ class Template:
     def needed(self) -> int:
         """How many of the n-grams a window must hold."""
         n = len(grams(self.text))
-        return n if len(words_in(self.text)) <= 3 else -(-int(n * CONFIRMED * 1000) // 1000)
+        return n if self.short else -(-int(n * CONFIRMED * 1000) // 1000)
+
+    @property
+    def short(self) -> bool:
+        return len(words_in(self.text)) <= 4
+
+    @property
+    def most(self) -> int:
+        """How many n-grams a window may have: a short name in a long sentence is talk about a licence."""
+        return len(grams(self.text)) + BESIDE if self.short else 1_000_000
 
 
 def templates() -> list[Template]:
@@ -168,14 +191,14 @@ def training_paragraphs(rng: np.random.Generator) -> list[tuple[str, str]]:
 
     rows = []
     for t in TEMPLATES:
-        short = len(words_in(t.text)) <= 3
+        short = t.short
         rows += [(t.family, among(t.text if short else varied(t.text, 0.2, t.decisive))) for _ in range(VARIANTS // (2 if short else 1))]
         rows += [(t.family, t.text)] * 3
     for family, notices in NOTICES.items():
         rows += [(family, " ".join(n for n, _ in notices[i : i + 2])) for i in range(len(notices) - 1)] * 3
     rows += [(UNKNOWN, varied(p, 0.4)) for p in PROSE for _ in range(2 * VARIANTS)]
     rows += [(UNKNOWN, f"{varied(pick(PROSE), 0.4)} {varied(pick(PROSE), 0.4)}") for _ in range(10 * VARIANTS)]
-    everything = [w for x in [*(t.text for t in TEMPLATES if len(words_in(t.text)) > 3), *PROSE] for w in x.split()]
+    everything = [w for x in [*(t.text for t in TEMPLATES if not t.short), *PROSE] for w in x.split()]
     rows += [(UNKNOWN, " ".join(rng.choice(everything, int(rng.integers(3, 20))))) for _ in range(20 * VARIANTS)]
     return rows
 
@@ -236,10 +259,10 @@ def shared_grams() -> list[tuple[str, int, int]]:
 
 
 def tables(spark: SparkSession, m: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(gram, w), (gram, template, decides) and (template, family, needed, decisive): a few thousand rows, fixed above."""
+    """(gram, w), (gram, template, decides) and (template, family, needed, most, decisive): a few thousand rows, fixed above."""
     weights = spark.createDataFrame([(g, m.weights[i].tolist()) for g, i in m.vocabulary.items()], "gram string, w array<double>")
     shares = spark.createDataFrame(shared_grams(), "gram string, template int, decides int")
-    return weights, shares, spark.createDataFrame([(i, t.family, t.needed, len(t.decisive)) for i, t in enumerate(TEMPLATES)], "template int, family string, needed int, decisive int")
+    return weights, shares, spark.createDataFrame([(i, t.family, t.needed, t.most, len(t.decisive)) for i, t in enumerate(TEMPLATES)], "template int, family string, needed int, most int, decisive int")
 
 
 def window_grams(words: Column) -> Column:
@@ -269,7 +292,9 @@ def scan(docs: DataFrame, m: Model | None = None) -> DataFrame:
     text = text_column()
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.when(F.lower(text).rlike(ANCHOR), text).alias("text"))
     rows = stage(rows, "licences")
-    features = stage(windows(rows.filter("text is not null")).select("uid", "line", "span", F.explode(window_grams(F.col("words"))).alias("gram")), "grams")
+    found = windows(rows.filter("text is not null")).select("uid", "line", "span", window_grams(F.col("words")).alias("grams"))
+    found = found.filter(~F.arrays_overlap("grams", F.array(*(F.lit(d) for d in DENIALS))))
+    features = stage(found.select("uid", "line", "span", F.size("grams").alias("size"), F.explode("grams").alias("gram")), "grams")
     key = ["uid", "line", "span"]
     sums = [F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(m.families))]
     logits = features.join(F.broadcast(weights), "gram").groupBy(*key).agg(*sums)
@@ -278,8 +303,8 @@ def scan(docs: DataFrame, m: Model | None = None) -> DataFrame:
     families = F.array(*(F.lit(f) for f in m.families))
     scored = scored.select(*key, families[F.array_position("z", F.col("top")).cast("int") - 1].alias("family"), (1 / F.col("total")).alias("probability"))
     scored = scored.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= m.least))
-    held = features.join(F.broadcast(shares), "gram").groupBy(*key, "template").agg(F.count("*").alias("n"), F.sum("decides").alias("decided"))
-    sure = held.join(F.broadcast(needed), "template").filter((F.col("n") >= F.col("needed")) & (F.col("decided") >= F.col("decisive")))
+    held = features.join(F.broadcast(shares), "gram").groupBy(*key, "template").agg(F.count("*").alias("n"), F.sum("decides").alias("decided"), F.first("size").alias("size"))
+    sure = held.join(F.broadcast(needed), "template").filter((F.col("n") >= F.col("needed")) & (F.col("size") <= F.col("most")) & (F.col("decided") >= F.col("decisive")))
     confirmed = scored.join(sure.select(*key, "family"), [*key, "family"], "left_semi")
     by_start = Window.partitionBy("uid", "family").orderBy("line", "span")
     reach = F.max(F.col("line") + F.col("span")).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
@@ -306,19 +331,20 @@ def oracle_sql(m: Model | None = None, docs: str = "documents") -> str:
     names = [f"z{i}" for i in range(len(m.families))]
     weights = ", ".join(f"({quoted(g)}, {', '.join(repr(float(v)) + '::DOUBLE' for v in m.weights[i])})" for g, i in m.vocabulary.items())
     shares = ", ".join(f"({quoted(g)}, {t}, {d})" for g, t, d in shared_grams())
-    needed = ", ".join(f"({i}, {quoted(t.family)}, {t.needed}, {len(t.decisive)})" for i, t in enumerate(TEMPLATES))
+    needed = ", ".join(f"({i}, {quoted(t.family)}, {t.needed}, {t.most}, {len(t.decisive)})" for i, t in enumerate(TEMPLATES))
     sums = ", ".join(f"(sum({z}) + {float(b)!r}) / {m.temperature!r} AS {z}" for z, b in zip(names, m.bias, strict=True))
     family = "CASE " + " ".join(f"WHEN {z} = top THEN {quoted(f)}" for z, f in zip(names, m.families, strict=True)) + " END"
-    anchors = "[" + ", ".join(quoted(a) for a in ANCHORS) + "]"
-    return f"""WITH weights(gram, {", ".join(names)}) AS (VALUES {weights}), shares(gram, template, decides) AS (VALUES {shares}), needed(template, family, needed, decisive) AS (VALUES {needed}),
+    anchors, denials = ("[" + ", ".join(map(quoted, x)) + "]" for x in (ANCHORS, DENIALS))
+    return f"""WITH weights(gram, {", ".join(names)}) AS (VALUES {weights}), shares(gram, template, decides) AS (VALUES {shares}), needed(template, family, needed, most, decisive) AS (VALUES {needed}),
 d AS (SELECT doc_id, row_number() OVER () AS uid, coalesce(text, '') AS text FROM {docs}), l AS (SELECT uid, list_transform(string_split(lower(text), chr(10)), lambda x: regexp_extract_all(x, '{TOKEN}')) AS lines FROM d WHERE regexp_matches(lower(text), '{ANCHOR}')),
 a AS (SELECT uid, i AS line, lines[i + 1:i + {max(SPANS)}] AS ahead FROM (SELECT uid, lines, unnest(range(0, len(lines))) AS i FROM l)),
 r AS (SELECT *, coalesce(list_position(list_transform(ahead, lambda x: len(x) = 0), true) - 1, len(ahead)) AS run FROM a),
 w AS (SELECT DISTINCT uid, line, least(s.span, run) AS span, flatten(ahead[1:least(s.span, run)]) AS words FROM r, (VALUES {", ".join(f"({s})" for s in SPANS)}) AS s(span) WHERE run > 0),
-g AS (SELECT uid, line, span, unnest(list_distinct(list_concat(words, list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1])))) AS gram FROM w WHERE list_has_any(words, {anchors})),
+gs AS (SELECT uid, line, span, list_distinct(list_concat(words, list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1]))) AS grams FROM w WHERE list_has_any(words, {anchors})),
+g AS (SELECT uid, line, span, len(grams) AS size, unnest(grams) AS gram FROM gs WHERE NOT list_has_any(grams, {denials})),
 z AS (SELECT uid, line, span, {sums} FROM g JOIN weights USING (gram) GROUP BY uid, line, span), y AS (SELECT *, greatest({", ".join(names)}) AS top FROM z),
 f AS (SELECT uid, line, span, {family} AS family, 1 / ({" + ".join(f"exp({z} - top)" for z in names)}) AS probability FROM y),
-s AS (SELECT DISTINCT uid, line, span, family FROM (SELECT uid, line, span, template, count(*) AS n, sum(decides) AS decided FROM g JOIN shares USING (gram) GROUP BY ALL) JOIN needed USING (template) WHERE n >= needed AND decided >= decisive),
+s AS (SELECT DISTINCT uid, line, span, family FROM (SELECT uid, line, span, template, size, count(*) AS n, sum(decides) AS decided FROM g JOIN shares USING (gram) GROUP BY ALL) JOIN needed USING (template) WHERE n >= needed AND size <= most AND decided >= decisive),
 c AS (SELECT uid, line, span, family FROM f JOIN s USING (uid, line, span, family) WHERE family <> '{UNKNOWN}' AND probability >= {m.least!r}),
 n AS (SELECT *, CASE WHEN line < max(line + span) OVER (PARTITION BY uid, family ORDER BY line, span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM c),
 i AS (SELECT *, sum(new) OVER (PARTITION BY uid, family ORDER BY line, span ROWS UNBOUNDED PRECEDING) AS island FROM n),
