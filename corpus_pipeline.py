@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared
 folder and gives the reread table to the next stage. All but the last return the columns of documents.
+
+Defined cases, for every stage: a null text is an empty one; null and equal doc_ids are rows of their own; rows that repeat
+are near duplicates of each other, of which the second stage keeps one; texts of any length are read whole; extra columns,
+whatever their names, are kept by all stages but the last; an empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations

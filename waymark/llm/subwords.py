@@ -2,6 +2,10 @@
 
 The word-end BPE splits at white space and never joins across it, so a text's ids are those of its words in a row.
 Words repeat much more than texts, and each is encoded once per worker while it stays in the cache.
+
+Defined cases: an empty text, or one of white space alone, has no ids; callers give texts, never null; texts that repeat
+have the same ids; a text of any length is encoded whole, word by word, words beyond LONGEST_WORD characters without
+staying in the cache; texts in which Python and the tokenizer may differ on white space go to the tokenizer whole.
 """
 
 from __future__ import annotations
