@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators import bands, forests, lists, reduce, replay, sssp, stored, trace
 from waymark.plans import catalog, table_queries
-from waymark.sources import graphs
+from waymark.sources import graphs, slabs
 from waymark.staging import shared_folder
 
 
@@ -293,3 +293,37 @@ def stage_of(df):
 def test_audits_find_what_is_there(spark, sf):
     for name in ("audit_settle_order", "audit_bounded_settles", "audit_heap_levels", "audit_pull_sizes", "audit_settled_once", "audit_nesting", "audit_batches"):
         assert sum(r["violations"] for r in getattr(table_queries, name)(spark, sf).collect()) > 0, name
+
+
+def test_slabs_as_a_data_source(spark, sf, tmp_path):
+    rows, path = catalog.event_trace(spark, sf), f"file://{tmp_path}/slabs"
+    slabs.write(rows.filter("idx < 500"), path, 64)
+    slabs.write(rows.filter("idx >= 500"), path, 64)
+    (tmp_path / "slabs" / "slab-0-0-stray.arrow").write_bytes(b"of a task that failed")
+    both = slabs.read(spark, path)
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, rows.select(*slabs.COLUMNS).collect()))
+    found = slabs.manifests(path)
+    assert sum(s.rows for s in found) == rows.count() and all(s.last - s.first < 64 for s in found)
+    slabs.write(rows.filter("lane = 1"), path, 64, "overwrite")
+    assert slabs.read(spark, path).count() == rows.filter("lane = 1").count()
+
+
+def test_conditions_leave_files_out():
+    reader = slabs.PrunedReader("unused")
+    asked = [slabs.EqualTo(("lane",), 1), slabs.GreaterThan(("idx",), 100), slabs.LessThanOrEqual(("idx",), 300), slabs.EqualTo(("cost",), 1)]
+    assert list(reader.pushFilters(asked)) == asked and len(reader.conditions) == 3
+    slab = lambda lane, first, last: slabs.Slab("s", lane, first, last, 1)
+    out = lambda s: any(slabs.rules_out(c, s) for c in reader.conditions)
+    assert [out(slab(*x)) for x in ((1, 0, 100), (1, 0, 101), (1, 300, 400), (1, 301, 400), (2, 150, 200))] == [True, False, False, True, True]
+    assert slabs.rules_out(slabs.In(("idx",), (5, 900)), slab(0, 6, 100)) and not slabs.rules_out(slabs.In(("lane",), (0, 3)), slab(3, 0, 1))
+
+
+def test_filters_reach_the_source(spark, sf, tmp_path):
+    path = f"file://{tmp_path}/slabs"
+    slabs.write(catalog.event_trace(spark, sf), path, 64)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        one = slabs.read(spark, path).filter("lane = 1 and idx < 64")
+        assert one.rdd.getNumPartitions() == 1 and one.count() == catalog.event_trace(spark, sf).filter("lane = 1 and idx < 64").count()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")

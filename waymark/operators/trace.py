@@ -73,6 +73,15 @@ def next_boundary(trace: DataFrame, t: float) -> DataFrame:
     return work_after(trace).groupBy(*LANE).agg(F.min(F.when(F.col("work_after") > t, F.col("work_after"))).alias("next_work"))
 
 
+def shared_steps(trace: DataFrame, t: float) -> DataFrame:
+    """lane, sought, stepped_op, stepped_event: rows applied in every lane when the shared clock is sought at t, then moved by
+    one billed operation, then to the next row of any lane behind that."""
+    rows = work_after(trace).select("lane", "work_after")
+    ahead = rows.filter(F.col("work_after") > t + 1).agg(F.coalesce(F.min("work_after"), F.lit(t + 1)).alias("next"))
+    applied = lambda upto, name: F.count_if(F.col("work_after") <= upto).cast("long").alias(name)
+    return rows.join(F.broadcast(ahead), F.lit(True)).groupBy("lane").agg(applied(t, "sought"), applied(t + 1, "stepped_op"), applied(F.col("next"), "stepped_event"))  # one row
+
+
 def until(trace: DataFrame, t: float) -> DataFrame:
     """The rows applied at clock position t, with work_after."""
     return work_after(trace).filter(F.col("work_after") <= t)

@@ -467,10 +467,14 @@ DRAWS = f"""i AS (SELECT CAST(i AS BIGINT) AS i, CAST(({SEED} + CAST(i + 1 AS HU
 t1 AS (SELECT i, CAST((CAST(xor(s, s >> 15) AS HUGEINT) * (s | 1)) {M} AS BIGINT) AS t FROM i), t2 AS (SELECT i, xor(t, CAST((t + (CAST(xor(t, t >> 7) AS HUGEINT) * (t | 61)) {M}) {M} AS BIGINT)) AS t FROM t1), u AS (SELECT i, xor(t, t >> 14) / 4294967296.0::DOUBLE AS u FROM t2)"""
 
 
-@query(f"""WITH {DRAWS}, a AS (SELECT CAST(i AS BIGINT) AS p, CAST(i + 1 AS BIGINT) AS q, 1.0::DOUBLE AS w FROM range(19) AS r(i) UNION ALL SELECT i % 19, i + 20, 20 + u FROM u)
+LONG_DRAWS = DRAWS.replace(f"range({SEED_N - 20})", "range((SELECT n - c FROM size))")
+
+
+@query(f"""WITH size AS (SELECT n, CAST(greatest(2, floor(sqrt(n))) AS BIGINT) AS c FROM (SELECT count(*) AS n FROM customer)), {LONG_DRAWS}, a AS (SELECT CAST(i AS BIGINT) AS p, CAST(i + 1 AS BIGINT) AS q, 1.0::DOUBLE AS w FROM range((SELECT c - 1 FROM size)) AS r(i) UNION ALL SELECT i % (c - 1), i + c, c + u FROM u, size)
 SELECT p AS src, q AS dst, w FROM a UNION ALL SELECT q, p, w FROM a""")
 def adversarial_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.adversarial_arcs(spark, SEED_N, SEED)
+    """The family's graph with as many vertices as there are customers."""
+    return generators.adversarial_arcs(spark, table(spark, sf_dir, "customer").count(), SEED)
 
 
 @query("SELECT l_returnflag AS family, l_linestatus AS size, bool_and(l_extendedprice < 104000) AS passed, count(*) FILTER (l_extendedprice >= 104000) AS losses FROM lineitem GROUP BY ALL")

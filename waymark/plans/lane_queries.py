@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import parameters
-from waymark.operators import lists, playback, race, reduce, scene, sssp, trace
+from waymark.operators import lists, race, reduce, scene, sssp, trace
 from waymark.plans import catalog, finish, specs
 from waymark.plans import lanes as lane_plans
 from waymark.plans.catalog import ARCS, DRAWS, EVENT_TRACE, FULL, LANES, PLACES, SEED, SEED_N, T_MARK, event_trace, first_vertex, lanes, placed, query, stand_in_arcs, with_tr
@@ -132,10 +132,7 @@ def story_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EVENT_TRACE}, wk AS (SELECT lane, CAST(sum(cost) OVER (PARTITION BY lane ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS w FROM tr), t AS (SELECT min(w) AS at FROM wk WHERE w > {T_MARK})
 SELECT lane, count(*) FILTER (w <= {T_MARK}) AS sought, count(*) FILTER (w <= {T_MARK} + 1) AS stepped_op, count(*) FILTER (w <= greatest((SELECT min(w) FROM wk WHERE w > {T_MARK} + 1), {T_MARK} + 1)) AS stepped_event FROM wk GROUP BY lane""")
 def scheduler_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_trace(spark, sf_dir)
-    found = playback.Scheduler([playback.Playback(rows.filter(F.col("lane") == i)) for i in range(3)])
-    steps = [found.seek(T_MARK), found.step_op(), found.step_event()]
-    return spark.createDataFrame([(i, *(s[i] for s in steps)) for i in range(3)], "lane int, sought long, stepped_op long, stepped_event long")
+    return trace.shared_steps(event_trace(spark, sf_dir), T_MARK)
 
 
 FINISH_SQL = catalog.ORACLES["finish_vertex"]
@@ -233,11 +230,11 @@ def vertex_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scene.grid(placed(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v"))), 24)
 
 
-@query("SELECT 0 AS lane, CAST(sum(CASE i % 8 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN i % 16 WHEN 7 THEN i % 12 ELSE 0 END) AS BIGINT) AS work, " + ", ".join(f"count(*) FILTER (i % 8 = {i}) AS n_{k}" for i, k in enumerate(catalog.KINDS)) + " FROM range(200000) AS r(i)")
+@query("SELECT 0 AS lane, CAST(sum(CASE i % 8 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN i % 16 WHEN 7 THEN i % 12 ELSE 0 END) AS BIGINT) AS work, " + ", ".join(f"count(*) FILTER (i % 8 = {i}) AS n_{k}" for i, k in enumerate(catalog.KINDS)) + " FROM range((SELECT count(*) FROM lineitem)) AS r(i)")
 def mixed_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.plans import trace_bench
 
-    return trace.tally(trace.encode(trace_bench.mixed_events(spark, 200_000)))
+    return trace.tally(trace.encode(trace_bench.mixed_events(spark, table(spark, sf_dir, "lineitem").count())))
 
 
 @query("SELECT * FROM (VALUES ('S', 500), ('M', 5000), ('L', 25000), ('XL', 100000)) AS s(name, n)")

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators import audits, bands, forests, lists, reduce, replay, sssp, stored, trace
+from waymark.plans import finish
 from waymark.plans.catalog import ARCS, EVENT_TRACE, LABELS, T_MARK, event_trace, query, stand_in_arcs, value_pairs, with_tr
 from waymark.schema import KINDS
 from waymark.session import table
-from waymark.sources import graphs
+from waymark.sources import graphs, slabs
 from waymark.staging import shared_folder, stage
 from waymark.streaming import lanes
 
@@ -164,6 +165,15 @@ def restore_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.restored(spark, stored_events(spark, sf_dir), stand_in_arcs(spark), T_MARK, EVERY)
 
 
+@query(with_tr("SELECT lane, idx, kind, vertex, edge, aux0, aux1, aux2, aux_f, cost FROM tr"))
+def slab_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events trace written as slabs in two commits and read again."""
+    rows, path = event_trace(spark, sf_dir), shared_folder(spark, "slabs")
+    for part in ("idx % 2 = 0", "idx % 2 = 1"):
+        slabs.write(rows.filter(part), path, SLAB)
+    return slabs.read(spark, path).select("lane", "idx", "kind", "vertex", "edge", "aux0", "aux1", "aux2", "aux_f", "cost")
+
+
 # ------------------------------------------------------------------ replay over the events trace and a table's arcs
 
 #: Arcs between nations, one a customer, by the whole part of the balance.
@@ -252,6 +262,16 @@ def settled_values(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFra
     return rows.filter("kind = 1").select("lane", F.col("vertex").cast("long").alias("v")).distinct().join(values, "v")
 
 
+FINISH = 7
+
+
+@query(with_tr(f", {SETTLING} SELECT lane, bool_or(vertex = {FINISH}) AS frozen FROM ts WHERE kind = 1 GROUP BY lane"))
+def frozen_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each lane has settled the finish, and so stands still."""
+    settles = settling_trace(spark, sf_dir).filter("kind = 1").select("lane", F.col("vertex").cast("long").alias("v"))
+    return finish.frozen(settles, FINISH)
+
+
 @query(audit("SELECT lane FROM (SELECT lane, value, max(value) OVER (PARTITION BY lane ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tr JOIN ev ON event_id = vertex WHERE kind = 1) WHERE value < before"))
 def audit_settle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_trace(spark, sf_dir)
