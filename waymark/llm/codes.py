@@ -142,7 +142,7 @@ def sums(rows: DataFrame, shared, width: int, parts: int) -> DataFrame:  # noqa:
 
 
 def shared_trees(rows: DataFrame, books: np.ndarray):  # noqa: ANN201
-    return rows.sparkSession.sparkContext.broadcast((books, [built(b) for b in books]))  # PARTS * ENTRIES entries
+    return rows.sparkSession.sparkContext.broadcast((books, [built(b) for b in books if len(b)]))  # PARTS * ENTRIES entries
 
 
 def fitted(rows: DataFrame, width: int, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> np.ndarray:

@@ -45,8 +45,9 @@ def features(rows: DataFrame, by: list[str], orders: int = ORDERS) -> DataFrame:
     runs = [F.col("feature")]
     for n in range(1, orders):  # concat with the null behind the last word is null
         runs.append(F.concat(runs[-1], F.lit(" "), F.lead("feature", n).over(following)))
-    sized = [F.struct(run.alias("feature"), F.lit(n + 1).alias("size")) for n, run in enumerate(runs)]
-    found = table.select(*by, F.inline(F.array(*sized)))
+    joined = table.select(*by, *(run.alias(f"run{n}") for n, run in enumerate(runs, 1)))
+    sized = [F.struct(F.col(f"run{n}").alias("feature"), F.lit(n).alias("size")) for n in range(1, orders + 1)]
+    found = joined.select(*by, F.inline(F.array(*sized)))
     return found.filter("feature is not null or size = 1")
 
 
