@@ -116,8 +116,18 @@ def label(length: Column, n_edges: Column, curr: Column, pred: Column) -> Column
 def labels(edges: DataFrame, source: int) -> DataFrame:
     """(v, label) by the order of (length, number of arcs, vertex, predecessor); -1 stands for no predecessor.
 
-    The order is taken apart: least lengths first; over the arcs that are tight by them, the least numbers of arcs;
-    over those that are tight by both, the least predecessor. Each is a fixpoint or a minimum of plain numbers."""
+    Lengths and numbers of arcs are one fixpoint over whole numbers, length times more than there are arcs plus the arcs,
+    where such numbers fit; otherwise least lengths come first, and over the arcs that are tight by them the least numbers of
+    arcs. Over the arcs that are tight by both, the least tail is the predecessor."""
+    if dict(edges.dtypes)["w"] in ("bigint", "int", "smallint", "tinyint"):
+        n, most = edges.agg(F.count("*"), F.max("w")).first()
+        scale = n + 1
+        if n and (most * scale + 1) * scale < 2**62:
+            arcs = edges.select("src", "dst", (F.col("w").cast("long") * scale + 1).alias("w"))
+            both = stage(relaxed(arcs, from_one(arcs, source)).withColumnRenamed("best", "dist"), "both")
+            preds = tight(arcs, both).groupBy(F.col("dst").alias("v")).agg(F.min("src").alias("pred"))
+            length, count = F.expr(f"dist div {scale}").cast(dict(edges.dtypes)["w"]), F.col("dist") % scale
+            return both.join(preds, "v", "left").select("v", label(length, count, F.col("v"), F.coalesce("pred", F.lit(-1))).alias("label"))
     dist = stage(distances(edges, source), "dist")
     arcs = stage(tight(edges, dist).select("src", "dst", F.lit(1).cast("long").alias("w")), "arcs")
     hops = stage(relaxed(arcs, from_one(arcs, source)), "hops")
