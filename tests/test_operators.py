@@ -247,6 +247,24 @@ def test_predecessors_come_back_from_rings(spark):
     assert all(dist[p] + weight[p, v] == d for v, (d, p) in back.items() if v)
 
 
+def test_rings_are_crossed_by_shortcuts(spark, monkeypatch, tmp_path):
+    """One hub with 399 neighbours: a ring of 67 copies, crossed in few rounds; labels as without shortcuts."""
+    from waymark.plans import lane_queries
+
+    users = [x for k in range(1, 400) for x in (0, k)]
+    events = spark.createDataFrame([(i, u, float(i % 7)) for i, u in enumerate(users)], "event_id long, user_id long, value double")
+    events.write.parquet(f"file://{tmp_path}/events.parquet")
+    asked, rounds = [], sssp.rounds
+    monkeypatch.setattr(sssp, "rounds", lambda state, lists, n, bound=None: asked.append(n) or rounds(state, lists, n, bound))
+    found = lane_queries.mapback_predecessors(spark, f"file://{tmp_path}").collect()
+    assert len(found) == 400 and all(r["tight"] for r in found) and sum(asked) <= 40
+    edges = spark.createDataFrame([(a, b, w) for k in range(1, 40) for a, b, w in ((0, k, k % 3), (k, 0, 1))], "src long, dst long, w long")
+    for kind in ("long", "double"):
+        arcs, owners = reduce.reduced(edges.withColumn("w", F.col("w").cast(kind)), 4)
+        want = sorted(map(tuple, sssp.labels(arcs, 0).select("v", "label.*").collect()))
+        assert want == sorted(map(tuple, sssp.labels(arcs, 0, reduce.ring_shortcuts(owners)).select("v", "label.*").collect()))
+
+
 def test_what_names_no_vertex_or_arc_passes_the_way_back(spark):
     rows = spark.createDataFrame([(0, 0, 1, 4, -1), (0, 1, 1, 5, -1), (0, 2, 0, -1, 8), (0, 3, 0, -1, 9), (0, 4, 2, -1, -1)], "lane int, idx long, kind int, vertex int, edge int")
     owners = spark.createDataFrame([(4, 1), (5, 1)], "copy int, orig int")

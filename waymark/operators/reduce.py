@@ -50,6 +50,14 @@ def reduced_if_dense(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame, in
     return edges.select("src", "dst", "w"), vertices.select(F.col("v").alias("copy"), "v"), None
 
 
+def ring_shortcuts(owners: DataFrame) -> DataFrame:
+    """(src, dst, n): from every copy to the one n = 2, 4, 8... arcs on along its ring, so that a ring of c copies is crossed in
+    log2(c) arcs and not in c."""
+    rings = owners.groupBy("v").agg(F.min("copy").alias("first"), F.count("*").alias("copies")).filter("copies > 2")
+    spans = rings.select("v", "first", "copies", F.explode(F.expr("filter(transform(sequence(1, 62), k -> shiftleft(1L, k)), n -> n < copies)")).alias("n"))
+    return owners.join(spans, "v").select(F.col("copy").alias("src"), (F.col("first") + (F.col("copy") - F.col("first") + F.col("n")) % F.col("copies")).alias("dst"), "n")
+
+
 def reduced_source(owners: DataFrame, source: int) -> int | None:
     """The lowest copy of the source; None if it has no arc."""
     return owners.filter(F.col("v") == source).agg(F.min("copy")).first()[0]

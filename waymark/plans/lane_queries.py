@@ -191,7 +191,7 @@ def mapback_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs, owners = reduce.reduced(edges, 8)
     owners = stage(owners, "owners")
     start = owners.filter(F.col("v") == source).agg(F.min("copy")).first()[0]
-    back = stage(reduce.mapped_back_predecessors(sssp.labels(arcs, start), owners), "back")
+    back = stage(reduce.mapped_back_predecessors(sssp.labels(stage(arcs, "copies"), start, reduce.ring_shortcuts(owners)), owners), "back")
     up = back.select(F.col("v").alias("pred"), F.col("dist").alias("before"))
     met = back.join(up, "pred", "left").join(edges.select(F.col("src").alias("pred"), F.col("dst").alias("v"), "w"), ["pred", "v"], "left")
     return met.select("v", "dist", F.when(F.col("v") == source, F.col("pred") == -1).otherwise(F.coalesce(F.col("before") + F.col("w") == F.col("dist"), F.lit(False))).alias("tight"))
