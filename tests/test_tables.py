@@ -1,6 +1,7 @@
 """Forests, searches from many sources, selection, stored traces and replay against plain versions."""
 
 import heapq
+import os
 import random
 from collections import defaultdict
 
@@ -327,3 +328,31 @@ def test_filters_reach_the_source(spark, sf, tmp_path):
         assert one.rdd.getNumPartitions() == 1 and one.count() == catalog.event_trace(spark, sf).filter("lane = 1 and idx < 64").count()
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_folders_do_not_grow_with_the_slabs(spark, sf, tmp_path, monkeypatch):
+    """16 slabs a lane in folders of 4, by one write and by appends that end inside a folder; the same answers."""
+    monkeypatch.setattr(stored, "SLABS", 4)
+    monkeypatch.setattr(stored, "FRAMES", 3)
+    rows, arcs = catalog.event_trace(spark, sf), catalog.stand_in_arcs(spark)
+    once, twice = f"{tmp_path}/once", f"{tmp_path}/twice"
+    stored.store(rows, f"file://{once}", arcs, 64, 100)
+    stored.store(rows.filter("idx <= 301"), f"file://{twice}", arcs, 64, 100)
+    stored.append(rows.filter("idx > 301"), f"file://{twice}", arcs, 64, 100)
+    for path in (once, twice):
+        folders = [x for x in os.listdir(f"{path}/rows") if x.startswith("slab=")]
+        slabs_ = stored.index(spark, f"file://{path}").count()
+        assert 3 * slabs_ > 8 * len(folders) and len(folders) == stored.index(spark, f"file://{path}").select("slab").distinct().count()
+        assert stored.slabs(spark, f"file://{path}").count() == rows.count()
+    for t in (0, 99.5, 450, 700):
+        assert sorted(map(tuple, stored.seek(spark, f"file://{twice}", t).collect())) == sorted(map(tuple, trace.seek(rows, t).collect()))
+        want, got = (sorted(map(tuple, stored.restored(spark, f"file://{p}", arcs, t, 100).select("lane", "v", "pred", "settled").collect()), key=str) for p in (once, twice))
+        assert want == got == sorted(map(tuple, trace.restored(rows, trace.snapshots(rows, arcs, 100), arcs, t, 100).select("lane", "v", "pred", "settled").collect()), key=str)
+
+
+def test_slab_files_grow_with_the_tasks(spark, sf, tmp_path):
+    rows, path = catalog.event_trace(spark, sf), f"file://{tmp_path}/slabs"
+    slabs.write(rows, path, 8)
+    found = slabs.manifests(path)
+    assert len(found) > 100 and len({s.name for s in found}) <= 8 >= slabs.read(spark, path).rdd.getNumPartitions()
+    assert sorted(map(tuple, slabs.read(spark, path).collect())) == sorted(map(tuple, rows.select(*slabs.COLUMNS).collect()))

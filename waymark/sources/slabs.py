@@ -1,13 +1,15 @@
 """A trace's slabs as a data source: spark.read.format("waymark_slabs") and df.write.format("waymark_slabs").
 
-A folder holds one Arrow file for each slab of a lane that a task has written, and manifests. A manifest names the files of
-one committed write, with the lane and the first and last idx of each; files that no manifest names do not exist for readers,
-so that a write that fails, or a task that runs twice, leaves nothing behind that is read. A read is one partition a file.
-Conditions on lane and idx are taken over by the source where Spark hands them down
-(spark.sql.python.filterPushdown.enabled): files that they rule out are not opened, and rows are still filtered by Spark.
+A folder holds one Arrow file for each task that has written rows, whose record batches each belong to one slab of a lane, and
+manifests. A manifest names the slabs of one committed write, with the file, the record batches, the lane and the first and last
+idx of each; files that no manifest names do not exist for readers, so that a write that fails, or a task that runs twice,
+leaves nothing behind that is read. A read is a partition for at most READ_ROWS rows of a file, or one slab: files and
+partitions grow with the tasks and the rows, not with the slabs. Conditions on lane and idx are taken over by the source where
+Spark hands them down (spark.sql.python.filterPushdown.enabled): slabs that they rule out are not read, and rows are still
+filtered by Spark.
 
 Paths are those that pyarrow can open (file://, hdfs://, s3://). Rows should come dealt by lane and slab (slabbed()), so that
-a task has few files open; in any order the content is the same.
+a slab is in few batches; in any order the content is the same.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
@@ -30,6 +34,8 @@ from waymark.schema import SLAB, TRACE
 
 NAME = "waymark_slabs"
 COLUMNS = [c.split()[0] for c in TRACE.split(", ")]
+#: Rows in one partition of a read, unless one slab has more.
+READ_ROWS = 1_000_000
 
 
 def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -37,14 +43,23 @@ def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 @dataclass
-class Slab(InputPartition):
-    """One file: its name, lane, and range of idx."""
+class Slab:
+    """One slab in one file: the file's name, lane, range of idx, rows, and numbers of record batches."""
 
     name: str
     lane: int
     first: int
     last: int
     rows: int
+    batches: list[int] = field(default_factory=list)
+
+
+@dataclass
+class Part(InputPartition):
+    """Record batches of one file that a task reads."""
+
+    name: str
+    batches: list[int]
 
 
 @dataclass
@@ -75,14 +90,47 @@ class SlabReader(DataSourceReader):
         self.path, self.conditions = path, []
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [s for s in manifests(self.path) if not any(rules_out(c, s) for c in self.conditions)]
-
-    def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
+        wanted = [s for s in manifests(self.path) if not any(rules_out(c, s) for c in self.conditions)]
+        parts: list[Part] = []
+        for name, slabs in groupby(sorted(wanted, key=lambda s: s.name), key=lambda s: s.name):
+            rows = 0
+            for slab in slabs:  # in the order of lane and idx, as sorting is stable
+                if not rows or rows + slab.rows > READ_ROWS:
+                    rows = 0
+                    parts.append(Part(name, []))
+                parts[-1].batches.extend(slab.batches)
+                rows += slab.rows
+        return parts
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         fs, root = opened(self.path)
         with fs.open_input_file(f"{root}/{partition.name}") as file:
             reader = pyarrow.ipc.open_file(file)
-            for i in range(reader.num_record_batches):
-                yield reader.get_batch(i)
+            yield from merged(reader.get_batch(i) for i in sorted(partition.batches))
+
+
+def merged(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about this many: a slab's batch is small."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def runs(batch: pa.RecordBatch, slab: int) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """lane, chunk and rows of every slab that the batch holds rows of."""
+    lanes = batch.column("lane").to_numpy(zero_copy_only=False)
+    chunks = np.floor_divide(batch.column("idx").to_numpy(zero_copy_only=False), slab)
+    order = np.lexsort((chunks, lanes))  # stable
+    lanes, chunks = lanes[order], chunks[order]
+    starts = np.flatnonzero(np.r_[True, (lanes[1:] != lanes[:-1]) | (chunks[1:] != chunks[:-1])]) if len(order) else order
+    rows = batch.take(pa.array(order))
+    for start, end in zip(starts, [*starts[1:], len(order)], strict=True):
+        yield int(lanes[start]), int(chunks[start]), rows.slice(start, end - start)
 
 
 class PrunedReader(SlabReader):
@@ -101,24 +149,24 @@ class SlabWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = opened(self.path)
         fs.create_dir(root, recursive=True)
-        files: dict[tuple[int, int], tuple[Slab, pa.NativeFile, pyarrow.ipc.RecordBatchFileWriter]] = {}
+        name, out, writer = f"slabs-{uuid.uuid4().hex}.arrow", None, None
+        slabs: dict[tuple[int, int], Slab] = {}
+        n = 0
         for batch in iterator:
-            chunks = pc.floor(pc.divide(pc.cast(batch.column("idx"), pa.float64()), float(self.slab))).cast(pa.int64())
-            keys = sorted(set(zip(batch.column("lane").to_pylist(), chunks.to_pylist(), strict=True)))
-            for lane, chunk in keys:
-                part = batch.filter(pc.and_(pc.equal(batch.column("lane"), lane), pc.equal(chunks, chunk)))
-                if (lane, chunk) not in files:
-                    name = f"slab-{lane}-{chunk}-{uuid.uuid4().hex}.arrow"
+            for lane, chunk, part in runs(batch, self.slab):
+                if writer is None:
                     out = fs.open_output_stream(f"{root}/{name}")
-                    files[lane, chunk] = (Slab(name, lane, chunk * self.slab + self.slab, -1, 0), out, pyarrow.ipc.new_file(out, batch.schema))
-                slab, _, writer = files[lane, chunk]
+                    writer = pyarrow.ipc.new_file(out, batch.schema)
                 writer.write_batch(part)
                 ends = pc.min_max(part.column("idx")).as_py()
+                slab = slabs.setdefault((lane, chunk), Slab(name, lane, ends["min"], ends["max"], 0))
                 slab.first, slab.last, slab.rows = min(slab.first, ends["min"]), max(slab.last, ends["max"]), slab.rows + part.num_rows
-        for _, out, writer in files.values():
+                slab.batches.append(n)
+                n += 1
+        if writer is not None:
             writer.close()
             out.close()
-        return Written([slab for slab, _, _ in files.values()])
+        return Written(list(slabs.values()))
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = opened(self.path)
@@ -133,8 +181,8 @@ class SlabWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = opened(self.path)
-        for slab in (s for m in messages if m for s in m.slabs):
-            fs.delete_file(f"{root}/{slab.name}")
+        for name in {s.name for m in messages if m for s in m.slabs}:
+            fs.delete_file(f"{root}/{name}")
 
 
 class SlabSource(DataSource):
