@@ -1,10 +1,13 @@
 """A trace kept as a table that point queries read in part.
 
-The rows of a lane lie in folders, one for each slab of idx, each with the billed work after it. Beside them stands a small
-index, a row a slab: its rows, and the work before and after it. A position on the clock is found in the index, and the one
-slab of each lane that holds it is read: the index's rows prune the folders while the query runs. Keyframes lie
-in folders by lane and frame of billed work, and hold what a frame has changed, so that the frames up to a position and the
-slabs of one frame restore the state there. Rows that are added rewrite a lane's last slab and last frame alone.
+The rows of a lane lie in folders, one for SLABS slabs of idx in a row, each with the billed work after it. Beside them stands a
+small index, a row a slab: its rows, and the work before and after it. A position on the clock is found in the index, and the one
+folder of each lane that holds it is read: the index's rows prune the folders while the query runs. Keyframes lie
+in folders by lane, FRAMES frames of billed work in each, and hold what a frame has changed, so that the frames up to a position
+and the slabs of one frame restore the state there. Rows that are added rewrite a lane's last folders alone.
+
+Folders are named and moved one by one where a write is committed, and listed where it is read. There is one for about a hundred
+thousand rows, not for every slab.
 """
 
 from __future__ import annotations
@@ -16,12 +19,14 @@ from waymark.operators.trace import snapshots_of, work_after
 from waymark.schema import KEYFRAME_WORK, SLAB
 from waymark.staging import stage
 
+#: Slabs and frames in one folder.
+SLABS, FRAMES = 256, 256
 ROWS = ("idx", "kind", "vertex", "edge", "aux0", "aux1", "aux2", "aux_f", "cost", "work_after")
 
 
 def put(df: DataFrame, path: str, *folders: str) -> None:
     """Write df under path in folders of its own; only the folders that it has rows for are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
+    df.repartition(*folders).sortWithinPartitions(*folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
 
 
 def slabs(spark: SparkSession, path: str) -> DataFrame:
@@ -45,8 +50,8 @@ def kept(rows: DataFrame, base: DataFrame | None, path: str, slab: int, every: i
     if base is not None:
         met = met.join(F.broadcast(base.select("lane", "work")), "lane", "left").withColumn("work_after", F.col("work_after") + F.coalesce("work", F.lit(0))).drop("work")  # a row a lane
     chunk = F.floor(F.col("idx") / slab)
-    met = stage(met.select("lane", chunk.alias("chunk"), F.concat_ws("-", "lane", chunk).alias("slab"), *ROWS), "slabs")
-    put(met.repartition("slab").sortWithinPartitions("slab", "idx"), f"{path}/rows", "slab")
+    met = stage(met.select("lane", chunk.alias("chunk"), F.concat_ws("-", "lane", F.floor(chunk / SLABS)).alias("slab"), *ROWS), "slabs")
+    put(met, f"{path}/rows", "slab")
     touched = met.groupBy("lane", "chunk", "slab").agg(F.count("*").alias("n"), (F.min("work_after") - F.min_by("cost", "idx")).alias("work_before"), F.max("work_after").alias("work_after"))
     if base is not None:
         old = index(spark, path).join(F.broadcast(base.select("lane", F.col("chunk").alias("last"))), "lane").filter("chunk < last").drop("last")
@@ -54,10 +59,10 @@ def kept(rows: DataFrame, base: DataFrame | None, path: str, slab: int, every: i
         touched = touched.unionByName(old.join(touched_lanes, "lane", "left_semi"))
     whole = stage(touched, "index")
     put(whole, f"{path}/index", "lane")
-    low = met.groupBy("lane").agg(F.min(F.floor((F.col("work_after") - F.col("cost")) / every)).alias("low"))
-    wanted = index(spark, path).join(F.broadcast(low), "lane").filter(F.floor(F.col("work_after") / every) >= F.col("low")).select("slab", "low")
-    again = slabs(spark, path).join(F.broadcast(wanted), "slab").withColumn("frame", F.floor(F.col("work_after") / every)).filter("frame >= low")  # a row a slab
-    put(stage(changes(again, edges), "frames"), f"{path}/frames", "lane", "frame")
+    low = met.groupBy("lane").agg((F.min(F.floor((F.col("work_after") - F.col("cost")) / (every * FRAMES))) * FRAMES).alias("low"))
+    wanted = index(spark, path).join(F.broadcast(low), "lane").filter(F.floor(F.col("work_after") / every) >= F.col("low")).select("slab", "low").distinct()
+    again = slabs(spark, path).join(F.broadcast(wanted), "slab").withColumn("frame", F.floor(F.col("work_after") / every)).filter("frame >= low")  # a row a folder
+    put(changes(again, edges).withColumn("frames", F.floor(F.col("frame") / FRAMES)), f"{path}/frames", "lane", "frames")
 
 
 def changes(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -72,10 +77,12 @@ def store(trace: DataFrame, path: str, edges: DataFrame, slab: int = SLAB, every
 
 
 def append(trace: DataFrame, path: str, edges: DataFrame, slab: int = SLAB, every: int = KEYFRAME_WORK) -> None:
-    """Add rows that follow a lane's, or new lanes. What is read again is each lane's last slab, what is written the slabs from
-    there on and the frames from the last one on."""
+    """Add rows that follow a lane's, or new lanes. What is read again is each lane's last folder, what is written the folders of
+    slabs and of frames from there on."""
     spark = trace.sparkSession
-    last = index(spark, path).groupBy("lane").agg(F.max_by(F.struct("chunk", "slab", "work_before"), "chunk").alias("at")).select("lane", "at.chunk", "at.slab", F.col("at.work_before").alias("work"))
+    found = index(spark, path)
+    starts = found.groupBy("lane", "slab").agg(F.min("chunk").alias("chunk"), F.min_by("work_before", "chunk").alias("work"))
+    last = starts.groupBy("lane").agg(F.max_by(F.struct("chunk", "slab", "work"), "chunk").alias("at")).select("lane", "at.chunk", "at.slab", "at.work")
     last = stage(last.join(trace.select("lane").distinct(), "lane", "left_semi"), "last")
     tail = slabs(spark, path).join(F.broadcast(last.select("slab")), "slab")  # a row a lane
     columns = ["lane", *(c for c in ROWS if c != "work_after")]
@@ -84,31 +91,31 @@ def append(trace: DataFrame, path: str, edges: DataFrame, slab: int = SLAB, ever
 
 
 def seek(spark: SparkSession, path: str, t: float) -> DataFrame:
-    """lane, position: how many rows have work_after of at most t; one slab a lane is read."""
+    """lane, position: how many rows have work_after of at most t; one folder a lane is read."""
     if not 0 <= t < float("inf"):
         raise ValueError("the clock's position must be finite and not negative")
     found = index(spark, path)
     full = found.groupBy("lane").agg(F.coalesce(F.sum(F.when(F.col("work_after") <= t, F.col("n"))), F.lit(0)).alias("full"))
-    cut = found.filter((F.col("work_before") <= t) & (F.col("work_after") > t)).select("slab")
-    inside = slabs(spark, path).join(F.broadcast(cut), "slab").groupBy("lane").agg(F.count_if(F.col("work_after") <= t).alias("part"))  # a row a lane
+    cut = found.filter((F.col("work_before") <= t) & (F.col("work_after") > t)).select("slab", "chunk")
+    inside = slabs(spark, path).join(F.broadcast(cut), ["slab", "chunk"]).groupBy("lane").agg(F.count_if(F.col("work_after") <= t).alias("part"))  # a row a lane
     return full.join(inside, "lane", "left").select("lane", (F.col("full") + F.coalesce("part", F.lit(0))).cast("long").alias("position"))
 
 
 def next_boundary(spark: SparkSession, path: str, t: float) -> DataFrame:
-    """lane, next_work: the least work_after beyond t, null where the lane has ended; one slab a lane is read."""
+    """lane, next_work: the least work_after beyond t, null where the lane has ended; one folder a lane is read."""
     found = index(spark, path)
-    ahead = found.filter((F.col("work_before") <= t) & (F.col("work_after") > t)).select("slab")
-    inside = slabs(spark, path).join(F.broadcast(ahead), "slab").filter(F.col("work_after") > t).groupBy("lane").agg(F.min("work_after").alias("next_work"))
+    ahead = found.filter((F.col("work_before") <= t) & (F.col("work_after") > t)).select("slab", "chunk")
+    inside = slabs(spark, path).join(F.broadcast(ahead), ["slab", "chunk"]).filter(F.col("work_after") > t).groupBy("lane").agg(F.min("work_after").alias("next_work"))
     return found.select("lane").distinct().join(inside, "lane", "left")
 
 
 def restored(spark: SparkSession, path: str, edges: DataFrame, t: float, every: int = KEYFRAME_WORK) -> DataFrame:
     """lane, v, pred, settled at clock position t: from the frames before t's and the slabs that hold rows of that frame."""
     frame = int(t // every)
-    cut = index(spark, path).filter((F.col("work_before") <= t) & (F.col("work_after") >= frame * every)).select("slab")
-    tail = slabs(spark, path).join(F.broadcast(cut), "slab").filter((F.col("work_after") <= t) & (F.col("work_after") >= frame * every))
+    cut = index(spark, path).filter((F.col("work_before") <= t) & (F.col("work_after") >= frame * every)).select("slab", "chunk")
+    tail = slabs(spark, path).join(F.broadcast(cut), ["slab", "chunk"]).filter((F.col("work_after") <= t) & (F.col("work_after") >= frame * every))
     late = snapshots_of(tail, edges).withColumn("frame", F.lit(frame).cast("long"))
-    stored = frames(spark, path).filter(F.col("frame") < frame).select("lane", F.col("frame").cast("long").alias("frame"), "v", "pred", "settled")
+    stored = frames(spark, path).filter((F.col("frames") <= frame // FRAMES) & (F.col("frame") < frame)).select("lane", F.col("frame").cast("long").alias("frame"), "v", "pred", "settled")
     both = stored.unionByName(late)
     return both.groupBy("lane", "v").agg(F.max_by("pred", F.when(F.col("pred").isNotNull(), F.col("frame"))).alias("pred"), F.bool_or("settled").alias("settled"))
 
