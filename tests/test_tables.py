@@ -356,3 +356,12 @@ def test_slab_files_grow_with_the_tasks(spark, sf, tmp_path):
     found = slabs.manifests(path)
     assert len(found) > 100 and len({s.name for s in found}) <= 8 >= slabs.read(spark, path).rdd.getNumPartitions()
     assert sorted(map(tuple, slabs.read(spark, path).collect())) == sorted(map(tuple, rows.select(*slabs.COLUMNS).collect()))
+
+
+def test_predecessors_of_all_customers(spark, sf):
+    """Every customer with an order of odd quantity has a predecessor in its lane, not the 25 nations alone."""
+    found = table_queries.replay_predecessors(spark, sf)
+    lines, orders = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("lineitem", "orders"))
+    odd = lines.filter("CAST(floor(l_quantity) AS BIGINT) % 2 = 1").join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+    assert found.filter("lane >= 3").count() == odd.selectExpr("l_linenumber % 3 AS lane", "o_custkey").distinct().count() > 100
+    assert found.filter("lane < 3").select("lane").distinct().count() == 3

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from waymark.operators import audits, bands, forests, lists, reduce, replay, sssp, stored, trace
 from waymark.plans import finish
 from waymark.plans.catalog import ARCS, EVENT_TRACE, LABELS, T_MARK, event_trace, query, stand_in_arcs, value_pairs, with_tr
-from waymark.schema import KINDS
+from waymark.schema import KINDS, RELAX
 from waymark.session import table
 from waymark.sources import graphs, slabs
 from waymark.staging import shared_folder, stage
@@ -208,9 +208,21 @@ def replay_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.distances(event_trace(spark, sf_dir), nation_arcs(spark, sf_dir), 0)
 
 
-@query(f"WITH {EVENT_TRACE}, {NATIONS} SELECT lane, dst AS v, arg_max(src, idx) AS pred FROM tr JOIN ca USING (edge) WHERE kind = 0 AND aux0 = 1 GROUP BY ALL")
+#: Lanes 3 to 5: every line of an order relaxes the arc from its supplier to its customer, and improves it where the quantity is odd.
+LINES = "CAST(3 + l_linenumber % 3 AS INT) AS lane, (l_orderkey * 8 + l_linenumber) * 2147483648 + l_suppkey AS idx"
+
+
+@query(f"""WITH {EVENT_TRACE}, {NATIONS}, pt AS (SELECT {LINES}, 2 * l_suppkey + 1 AS src, 2 * o_custkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(floor(l_quantity) AS BIGINT) % 2 = 1)
+SELECT lane, dst AS v, arg_max(src, idx) AS pred FROM tr JOIN ca USING (edge) WHERE kind = 0 AND aux0 = 1 GROUP BY ALL UNION ALL SELECT lane, dst, arg_max(src, idx) FROM pt GROUP BY ALL""")
 def replay_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace.replayed(event_trace(spark, sf_dir), nation_arcs(spark, sf_dir))
+    """What the events trace leaves behind between the nations, and the trace of all lines in the graph of purchases."""
+    nations = trace.replayed(event_trace(spark, sf_dir), nation_arcs(spark, sf_dir))
+    customer, supplier = (F.col("dst") / 2).cast("long"), ((F.col("src") - 1) / 2).cast("long")
+    number = lambda customer, supplier: F.shiftleft(customer.cast("long"), 31) + supplier
+    arcs = graphs.purchases(spark, sf_dir).filter("src % 2 = 1").select(number(customer, supplier).alias("e"), "src", "dst")
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.selectExpr(*LINES.split(", ", 1), f"{RELAX} AS kind", "CAST(floor(l_quantity) AS BIGINT) % 2 AS aux0", "shiftleft(o_custkey, 31) + l_suppkey AS edge")
+    return nations.unionByName(trace.replayed(rows, arcs))
 
 
 @query(f"""WITH {EVENT_TRACE}, {NATIONS}, x AS (SELECT lane, idx, src, dst, w FROM tr JOIN ca USING (edge) WHERE kind = 0),
