@@ -247,6 +247,17 @@ def test_predecessors_come_back_from_rings(spark):
     assert all(dist[p] + weight[p, v] == d for v, (d, p) in back.items() if v)
 
 
+def test_no_rounds_run_behind_the_last_where_rounds_are_long(spark, monkeypatch):
+    """A chain of three arcs takes four rounds, the last of which changes nothing; each reads the lists near what changed."""
+    edges = spark.createDataFrame([(0, 1, 2), (1, 2, 2), (2, 3, 2), (8, 9, 1)], "src long, dst long, w long")
+    asked, rounds = [], sssp.rounds
+    monkeypatch.setattr(sssp, "MANY_ARCS", 0)
+    monkeypatch.setattr(sssp, "JOB_S", 0.0)
+    monkeypatch.setattr(sssp, "rounds", lambda state, lists, n, bound, within: asked.append((n, within)) or rounds(state, lists, n, bound, within))
+    assert {r["v"]: r["dist"] for r in sssp.distances(edges, 0).collect()} == {0: 0, 1: 2, 2: 4, 3: 6}
+    assert asked == [(1, (v, v)) for v in range(4)]
+
+
 def test_rings_are_crossed_by_shortcuts(spark, monkeypatch, tmp_path):
     """One hub with 399 neighbours: a ring of 67 copies, crossed in few rounds; labels as without shortcuts."""
     from waymark.plans import lane_queries
@@ -255,7 +266,7 @@ def test_rings_are_crossed_by_shortcuts(spark, monkeypatch, tmp_path):
     events = spark.createDataFrame([(i, u, float(i % 7)) for i, u in enumerate(users)], "event_id long, user_id long, value double")
     events.write.parquet(f"file://{tmp_path}/events.parquet")
     asked, rounds = [], sssp.rounds
-    monkeypatch.setattr(sssp, "rounds", lambda state, lists, n, bound=None: asked.append(n) or rounds(state, lists, n, bound))
+    monkeypatch.setattr(sssp, "rounds", lambda state, lists, n, *more: asked.append(n) or rounds(state, lists, n, *more))
     found = lane_queries.mapback_predecessors(spark, f"file://{tmp_path}").collect()
     assert len(found) == 400 and all(r["tight"] for r in found) and sum(asked) <= 40
     edges = spark.createDataFrame([(a, b, w) for k in range(1, 40) for a, b, w in ((0, k, k % 3), (k, 0, 1))], "src long, dst long, w long")
