@@ -217,3 +217,29 @@ def test_words_are_hashed_as_they_stand():
     n = np.concatenate([np.frombuffer(r[6], np.int64) for r in asked])
     assert n[numbers].tolist() == [sum(v.encode().lower().split().count(w) for v, k in zip(texts, (1, 0, 1, 1, 0, 1), strict=True) if k) for w in flat]
     assert (memory.unpacked(memory.packed(numbers), len(numbers)) == numbers).all()
+
+
+def test_network_learns_from_every_training_text(spark, monkeypatch):
+    """Every token of every training text, in rounds of shards as in one; what only the last texts say is known."""
+    rng, unit_of = np.random.default_rng(7), np.arange(51)
+    rows = [(i, i * 7919, rng.integers(0, 50, int(rng.integers(0, 90))).astype("<u2").tobytes()) for i in range(400)] + [(None, 5, b"")]
+    df = spark.createDataFrame(rows, "doc_id long, h long, ids binary").repartition(5)
+    tokens, pairs = sum(len(r[2]) // 2 + 1 for r in rows), lm.pair_counts(df, unit_of)
+    for one in (lm.ONE_SHARD, 0):
+        monkeypatch.setattr(lm, "ONE_SHARD", one)
+        monkeypatch.setattr(lm, "LEAST_SHARD", 3000)
+        network = lm.Network(51, unit_of % 7)
+        network.start_from(pairs.sum(axis=1) + 0.5)
+        assert lm.learned_network(df, network, unit_of, pairs, tokens) == tokens
+        said = network.log_probability(np.full((51, lm.BLOCK), 3), np.ones(51, bool), np.tile(unit_of[:, None], lm.BLOCK))[0]
+        assert np.isclose(np.exp(said[:, 5]).sum(), 1, atol=1e-5)
+    learnt = []
+    monkeypatch.setattr(lm.Network, "learned", lambda self, x, f, y, v, old=lm.Network.learned: (learnt.append(int(v.sum())), old(self, x, f, y, v))[1])
+    texts = [np.frombuffer(r[2], "<u2") for r in rows]
+    assert lm.learn(lm.Network(51, unit_of % 7), texts, unit_of, pairs, 2)[0] == tokens and sum(learnt) == 2 * tokens
+
+
+def test_share_from_bins_is_close_to_the_exact_one():
+    rng = np.random.default_rng(8)
+    weight, ratio = rng.random(20000), np.where(rng.random(20000) < 0.2, 0, np.exp(rng.normal(0, 2, 20000)))
+    assert np.isclose(lm.share_of_bins(lm.binned(weight, ratio)), lm.share_of(weight, ratio, np.ones(20000)), atol=0.01)
