@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.schema import SLAB
+from waymark.staging import dealt
 
 
 def total_of(kind: str, value: Column, idx: Column) -> Column:
@@ -47,5 +48,5 @@ def running(rows: DataFrame, by: list[str], idx: str, wanted: Mapping[str, tuple
     bases = totals.select(*by, "_slab", *(over(kind, F.col(f"_t_{n}"), ahead).alias(f"_b_{n}") for n, (kind, _) in wanted.items()))
     inside = Window.partitionBy(*by, "_slab").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     cut = cut.withColumns({f"_w_{n}": over(kind, F.col(f"_v_{n}"), inside) for n, (kind, _) in wanted.items()})
-    met = cut.join(bases, [*by, "_slab"])
+    met = cut.join(dealt(bases), [*by, "_slab"])
     return met.select(*columns, *(joined(kind, F.col(f"_b_{n}"), F.col(f"_w_{n}")).alias(n) for n, (kind, _) in wanted.items()))

@@ -9,7 +9,7 @@ from waymark.functions.parameters import degree_bound
 from waymark.operators.prefix import running
 from waymark.operators.sssp import distances
 from waymark.sources.graphs import ordered, prefix_sums
-from waymark.staging import discard, stage
+from waymark.staging import dealt, discard, stage
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -32,8 +32,8 @@ def reduced(edges: DataFrame, delta: int) -> tuple[DataFrame, DataFrame]:
     base = prefix_sums(count, "v", "copies").withColumnRenamed("before", "first")
     sorted_ = ordered(near, ["v", "u"], "nth")
     starts = sorted_.groupBy("v").agg(F.min("nth").alias("start"))
-    slots = sorted_.join(base.join(starts, "v"), "v").select("v", "u", (F.col("first") + F.floor((F.col("nth") - F.col("start")) / each)).alias("at"))
-    tail, head = slots.alias("a"), slots.alias("b")
+    slots = sorted_.join(dealt(base.join(dealt(starts), "v")), "v").select("v", "u", (F.col("first") + F.floor((F.col("nth") - F.col("start")) / each)).alias("at"))
+    tail, head = dealt(slots.alias("a")), dealt(slots.alias("b"))
     met = edges.join(tail, (F.col("a.v") == F.col("src")) & (F.col("a.u") == F.col("dst"))).join(head, (F.col("b.v") == F.col("dst")) & (F.col("b.u") == F.col("src")))
     owners = base.select("v", "copies", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("copy"), "first")
     ring = owners.filter("copies > 1").select(F.col("copy").alias("src"), (F.col("first") + (F.col("copy") - F.col("first") + 1) % F.col("copies")).alias("dst"), F.lit(0).cast(dict(edges.dtypes)["w"]).alias("w"))
@@ -65,7 +65,7 @@ def reduced_source(owners: DataFrame, source: int) -> int | None:
 
 def mapped_back(dist: DataFrame, owners: DataFrame) -> DataFrame:
     """(v, dist): the least of the copies' distances."""
-    return dist.withColumnRenamed("v", "copy").join(owners, "copy").groupBy("v").agg(F.min("dist").alias("dist"))
+    return dist.withColumnRenamed("v", "copy").join(dealt(owners), "copy").groupBy("v").agg(F.min("dist").alias("dist"))
 
 
 def mapped_back_predecessors(labels: DataFrame, owners: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -93,9 +93,9 @@ def distances_by_reduction(edges: DataFrame, source: int, delta: int) -> DataFra
     arcs, owners = reduced(edges, delta)
     owned = stage(owners, "owners")
     tails, heads = owned.withColumnsRenamed({"copy": "src", "v": "a"}), owned.withColumnsRenamed({"copy": "dst", "v": "b"})
-    rings = arcs.join(tails, "src").join(heads, "dst").filter("a != b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("w").alias("w"))
+    rings = arcs.join(dealt(tails), "src").join(dealt(heads), "dst").filter("a != b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("w").alias("w"))
     of_ring = distances(rings, source)
-    copies = owned.join(of_ring, "v").select(F.col("copy").alias("v"), "dist")
+    copies = owned.join(dealt(of_ring), "v").select(F.col("copy").alias("v"), "dist")
     return mapped_back(copies, owned)
 
 
@@ -125,7 +125,7 @@ def told_anew(rows: DataFrame, edges: DataFrame, source: int) -> DataFrame:
 
     The least candidates before a row are a running minimum of a value that itself depends on them; it is taken again until no
     row changes, once for every arc of the longest chain of improvements, over slabs of a lane. Weights must not be negative."""
-    hits = stage(rows.join(edges.select(F.col("e").alias("edge"), "src", "dst", "w"), "edge").select("lane", "idx", "edge", "src", "dst", "w"), "hits")
+    hits = stage(rows.join(dealt(edges.select(F.col("e").alias("edge"), "src", "dst", "w")), "edge").select("lane", "idx", "edge", "src", "dst", "w"), "hits")
     kind = dict(hits.dtypes)["w"]
 
     def before(found: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def told_anew(rows: DataFrame, edges: DataFrame, source: int) -> DataFrame:
         rows = into.unionByName(asked[0]).unionByName(asked[1]).withColumn("at", 2 * F.col("idx") + (F.col("what") == "write").cast("int"))  # a row asks before it writes
         seen = running(rows, ["lane", "vertex"], "at", {"least": ("min", F.col("value"))}, inclusive=False)
         told = seen.filter("what != 'write'").groupBy("lane", "idx").agg(F.max(F.when(F.col("what") == "src", F.col("least"))).alias("tail"), F.max(F.when(F.col("what") == "dst", F.col("least"))).alias("head"))
-        return found.join(told, ["lane", "idx"])
+        return found.join(dealt(told), ["lane", "idx"])
 
     found = stage(hits.withColumn("made", F.when(F.col("src") == source, F.col("w"))), "candidates")
     while True:
