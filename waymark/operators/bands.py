@@ -39,7 +39,7 @@ def distances(edges: DataFrame, start: DataFrame, bound: float, delta: float) ->
     """source, v, dist, tries of every vertex within the bound (exclusive) of each source of start(source, v): tries is how
     many candidates were made for it. Weights must not be negative."""
     kind = dict(edges.dtypes)["w"]
-    lists, name = bucketed(listed(edges), "tail", "part")
+    lists, name = bucketed(listed(edges.filter(F.col("w") < F.lit(bound))), "tail", "part")  # others lead beyond the bound
     state = stage(start.select(F.col("source").cast("long").alias("source"), F.col("v").cast("long").alias("v")).distinct().select(
         "source", "v", F.lit(0).alias("part"), F.lit(0).cast(kind).alias("best"), F.lit(None).cast(kind).alias("sent"), F.lit(False).alias("closed"), F.lit(0).cast("long").alias("tries")), "state")
 
