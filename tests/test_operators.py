@@ -3,11 +3,12 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions.prng import Draws, draw
-from waymark.operators import prefix, race, reduce, scene, sssp, trace
+from waymark.operators import bands, prefix, race, reduce, scene, sssp, trace
 from waymark.plans import lanes, specs, sweeps
 from waymark.schema import TRACE
 from waymark.sources import generators, graphs
@@ -388,3 +389,48 @@ def test_audits_see_what_is_broken(spark):
     assert ids(audits.bounded_settles(df, dist)) == [12] and ids(audits.settle_order(df, dist)) == [12]
     calls = {(r["entered"], r["left"], r["depth"]) for r in audits.matched_calls(df).collect()}
     assert calls == {(0, None, 1), (10, 13, 2)}
+
+
+def plain_distances(rows, start):
+    best = dict(start)
+    while True:
+        new = dict(best)
+        for a, b, w in rows:
+            if a in new and new[a] + w < new.get(b, 10**9):
+                new[b] = new[a] + w
+        if new == best:
+            return best
+        best = new
+
+
+def test_arcs_that_cannot_matter_are_left_out(spark, monkeypatch):
+    """With a bound by their weight, without one by the values that the lightest arcs give; the distances stay."""
+    rng = np.random.default_rng(11)
+    rows = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, 60, 900), rng.integers(0, 60, 900), rng.integers(0, 50, 900), strict=True)]
+    rows += [(5, 100, 49), (100, 101, 0), (101, 102, 50), (200, 201, 1)]  # found by heavy arcs only, and not at all
+    edges = spark.createDataFrame(rows, "src long, dst long, w long")
+    start = spark.createDataFrame([(5, 0), (7, 2)], "v long, best long")
+    taken = []
+    monkeypatch.setattr(sssp, "listed", lambda e, old=sssp.listed: (taken.append(e.count()), old(e))[1])
+    want = plain_distances(rows, [(5, 0), (7, 2)])
+    assert {r["v"]: r["best"] for r in sssp.relaxed(edges, start, 6).collect()} == {v: d for v, d in want.items() if d < 6}
+    assert taken.pop() == sum(w < 6 for _, _, w in rows)
+    monkeypatch.setattr(sssp, "MANY_ARCS", 0)
+    assert {r["v"]: r["best"] for r in sssp.relaxed(edges, start).collect()} == want
+    assert len(taken) == 2 and sum(taken) < len(rows)
+    steps = edges.withColumn("w", F.lit(1).cast("long"))
+    assert {r["v"]: r["best"] for r in sssp.relaxed(steps, start).collect()} == plain_distances([(a, b, 1) for a, b, _ in rows], [(5, 0), (7, 2)])
+    monkeypatch.setattr(bands, "listed", sssp.listed)
+    taken.clear()
+    one = spark.createDataFrame([(5, 5)], "source long, v long")
+    assert {r["v"]: r["dist"] for r in bands.distances(edges, one, 6, 2).collect()} == {v: d for v, d in plain_distances(rows, [(5, 0)]).items() if d < 6}
+    assert taken == [sum(w < 6 for _, _, w in rows)]
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    rows = spark.range(100).selectExpr("CAST(id % 3 AS INT) AS lane", "id AS idx", "id AS value")
+    plan = prefix.running(rows, ["lane"], "idx", {"least": ("min", F.col("value"))}, slab=8)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    dist = spark.createDataFrame([(1, 0)], "v long, dist long")
+    plan = reduce.mapped_back(dist, spark.createDataFrame([(1, 2)], "copy long, v long"))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
