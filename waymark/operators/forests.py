@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.sssp import tight_predecessors
 from waymark.sources.graphs import ordered
-from waymark.staging import discard, stage
+from waymark.staging import dealt, discard, stage
 
 #: Doublings in one job.
 JUMPS = 2
@@ -52,7 +52,7 @@ def followed(rows: DataFrame, most: int) -> DataFrame:
         ahead = rows
         for _ in range(JUMPS):
             met = ahead.select(F.col("node").alias("next"), F.col("next").alias("then"), F.col("steps").alias("more"), F.col("last").alias("end"))
-            moved = ahead.filter("next is not null").join(met, "next").select("node", F.col("then").alias("next"), (F.col("steps") + F.col("more")).alias("steps"), F.col("end").alias("last"))
+            moved = ahead.filter("next is not null").join(dealt(met), "next").select("node", F.col("then").alias("next"), (F.col("steps") + F.col("more")).alias("steps"), F.col("end").alias("last"))
             ahead = moved.unionByName(ahead.filter("next is null"))
         before, rows = rows, stage(ahead, "list")
         discard(before)
@@ -144,12 +144,12 @@ def contracted(nodes: DataFrame, s: int) -> DataFrame:
     while rows.filter("val is null").head(1):
         done, chains, pairs = rows.filter("val is not null"), rows.filter("val is null and f is not null"), rows.filter("val is null and f is null")
         told = rows.select(F.col("id").alias("ptr"), F.col("val").alias("v2"), F.col("f").alias("f2"), F.col("ptr").alias("p2"))
-        met = chains.join(told, "ptr")
+        met = chains.join(dealt(told), "ptr")
         at = lambda x: F.get(F.col("f"), x - 1)
         jumped = met.select("id", "l", "r", "lv", "rv", F.when(F.col("f2").isNotNull(), F.transform("f2", at)).otherwise(F.col("f")).alias("f"), F.when(F.col("f2").isNotNull(), F.col("p2")).otherwise(F.col("ptr")).alias("ptr"), at(F.col("v2")).alias("val"))
         for side in ("l", "r"):
             known = done.select(F.col("id").alias(side), F.col("val").alias("new"))
-            pairs = pairs.join(known, side, "left").withColumn(f"{side}v", F.coalesce(f"{side}v", "new")).drop("new")
+            pairs = pairs.join(dealt(known), side, "left").withColumn(f"{side}v", F.coalesce(f"{side}v", "new")).drop("new")
         before, rows = rows, stage(done.unionByName(jumped).unionByName(settled(pairs.select(*rows.columns))), "nodes")
         discard(before)
     return rows.select("id", "val")
