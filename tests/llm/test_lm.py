@@ -243,3 +243,34 @@ def test_share_from_bins_is_close_to_the_exact_one():
     rng = np.random.default_rng(8)
     weight, ratio = rng.random(20000), np.where(rng.random(20000) < 0.2, 0, np.exp(rng.normal(0, 2, 20000)))
     assert np.isclose(lm.share_of_bins(lm.binned(weight, ratio)), lm.share_of(weight, ratio, np.ones(20000)), atol=0.01)
+
+
+def test_gradients_in_parts_and_of_large_sums(monkeypatch):
+    """Blocks are attended to a few at a time, across whose ends keys and values are shared; sums beyond single range are shifted."""
+    rng = np.random.default_rng(9)
+    net = lm.Network(30, np.arange(30) % 5)
+    inputs, targets = rng.integers(0, 30, (7, lm.BLOCK)), rng.integers(0, 30, (7, lm.BLOCK))
+    first, valid = np.array([True, False, False, False, True, False, False]), np.ones((7, lm.BLOCK))
+    want, g = net.learned(inputs, first, targets, valid)
+    for part in (1, 2, 3):
+        monkeypatch.setattr(lm, "ATTEND", part)
+        said, some = net.learned(inputs, first, targets, valid)
+        assert np.allclose(said, want, atol=1e-5) and all(np.allclose(some[k], g[k], atol=1e-6) for k in g)
+    for k, by in (("k", 400), ("bu", None)):
+        net.p[k] = (net.p[k] + np.float32(300) if by is None else net.p[k] * np.float32(by)).astype(np.float32)
+        said, some = net.learned(inputs, first, targets, valid)
+        net.tables = None
+        assert np.allclose(said, net.log_probability(inputs, first, targets)[0], rtol=1e-4, atol=1e-4)
+        assert all(np.isfinite(x).all() for x in some.values())
+
+
+def test_large_shards_take_longer_steps(monkeypatch):
+    """Every token once, in no fewer steps than a shard of LEAST_SHARD tokens has, and not in one for each 2 * BATCH blocks."""
+    steps, rng = [], np.random.default_rng(10)
+    monkeypatch.setattr(lm, "LEAST_SHARD", 4 * 2 * lm.BATCH * lm.BLOCK)
+    monkeypatch.setattr(lm.Network, "learned", lambda self, x, f, y, v, old=lm.Network.learned: (steps.append(int(v.sum())), old(self, x, f, y, v))[1])
+    for shards, most in ((1, 8), (4, 8)):
+        steps.clear()
+        texts = [rng.integers(0, 50, 63).astype("<u2") for _ in range(shards * lm.LEAST_SHARD // 64)]
+        assert lm.learn(lm.Network(51, np.arange(51) % 7), texts, np.arange(51), np.ones((51, 51), np.int64), 1)[0] == shards * lm.LEAST_SHARD
+        assert sum(steps) == shards * lm.LEAST_SHARD and 4 <= len(steps) <= most
