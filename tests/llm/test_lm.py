@@ -274,3 +274,11 @@ def test_large_shards_take_longer_steps(monkeypatch):
         texts = [rng.integers(0, 50, 63).astype("<u2") for _ in range(shards * lm.LEAST_SHARD // 64)]
         assert lm.learn(lm.Network(51, np.arange(51) % 7), texts, np.arange(51), np.ones((51, 51), np.int64), 1)[0] == shards * lm.LEAST_SHARD
         assert sum(steps) == shards * lm.LEAST_SHARD and 4 <= len(steps) <= most
+
+
+def test_packed_units_are_small():
+    rng = np.random.default_rng(11)
+    for units in (np.minimum(rng.zipf(1.3, 1000), lm.UNITS).astype(np.uint16), np.zeros(0, np.uint16), np.array([lm.UNITS], np.uint16)):
+        raw = memory.packed(units)
+        assert (memory.unpacked(raw, len(units), np.uint16) == units).all()
+        assert len(units) < 1000 or len(raw) < 0.75 * units.nbytes
