@@ -1,6 +1,7 @@
 import heapq
 import itertools
 import json
+import math
 import random
 
 import numpy as np
@@ -277,6 +278,31 @@ def test_rings_are_crossed_by_shortcuts(spark, monkeypatch, tmp_path):
         assert want == sorted(map(tuple, sssp.labels(arcs, 0, reduce.ring_shortcuts(owners)).select("v", "label.*").collect()))
 
 
+def test_long_searches_go_region_by_region(spark, monkeypatch):
+    """A chain of copies of a graph takes a few steps, not a round an arc; least values also where hubs are cut."""
+    from waymark.operators import regions
+
+    clusters = generators.build("clusters", 40, 7)[1]
+    chain = [(a + 40 * k, b + 40 * k, 1 + int(10 * w)) for k in range(4) for a, b, w in clusters] + [(40 * k + 39, 40 * k + 40, 1) for k in range(3)]
+    monkeypatch.setattr(regions, "LEAST", 64)
+    monkeypatch.setattr(regions, "MOST", 2 * len(clusters))
+    taken, asked, keep = [], [], regions.keep
+    monkeypatch.setattr(regions, "keep", lambda df, name: taken.append(name) or keep(df, name))
+    monkeypatch.setattr(sssp, "rounds", lambda *more: asked.append(more))
+    for kind, unit, bound, chunk in (("long", 1, None, 4096), ("double", 0.1, 2.0, 8)):
+        monkeypatch.setattr(sssp, "CHUNK", chunk)
+        edges = spark.createDataFrame([(a, b, w * unit) for a, b, w in chain], f"src long, dst long, w {kind}")
+        want, moved = {0: 0 * unit}, True
+        while moved:
+            moved = False
+            for a, b, w in chain:
+                if a in want and (bound is None or want[a] + w * unit < bound) and want[a] + w * unit < want.get(b, math.inf):
+                    want[b], moved = want[a] + w * unit, True
+        assert {r["v"]: r["best"] for r in sssp.fixpoint(edges, sssp.from_one(edges, 0), bound, 0).collect()} == want
+        assert bound or len(want) == 160 and 4 <= len(taken) <= 12
+    assert not asked
+
+
 def test_what_names_no_vertex_or_arc_passes_the_way_back(spark):
     rows = spark.createDataFrame([(0, 0, 1, 4, -1), (0, 1, 1, 5, -1), (0, 2, 0, -1, 8), (0, 3, 0, -1, 9), (0, 4, 2, -1, -1)], "lane int, idx long, kind int, vertex int, edge int")
     owners = spark.createDataFrame([(4, 1), (5, 1)], "copy int, orig int")
