@@ -303,6 +303,17 @@ def test_long_searches_go_region_by_region(spark, monkeypatch):
     assert not asked
 
 
+def test_the_tight_forest_holds_every_vertex_reached(spark, tmp_path):
+    """A path of purchases of 9 each, far beyond a distance of 4: every vertex but the source has its parent."""
+    from waymark.plans import catalog
+
+    spark.createDataFrame([(k, 1 + k // 2) for k in range(6)], "o_orderkey long, o_custkey long").write.parquet(f"file://{tmp_path}/orders.parquet")
+    lines = [(k, 1 + (k + 1) // 2, 9.0) for k in range(6)]  # customer 1, supplier 1, customer 1, supplier 2, customer 2...
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    found = {r["v"]: r["parent"] for r in catalog.tight_forest_parent(spark, f"file://{tmp_path}").collect()}
+    assert found == {3: 2, 5: 2, 4: 5, 7: 4, 6: 7, 9: 6}
+
+
 def test_what_names_no_vertex_or_arc_passes_the_way_back(spark):
     rows = spark.createDataFrame([(0, 0, 1, 4, -1), (0, 1, 1, 5, -1), (0, 2, 0, -1, 8), (0, 3, 0, -1, 9), (0, 4, 2, -1, -1)], "lane int, idx long, kind int, vertex int, edge int")
     owners = spark.createDataFrame([(4, 1), (5, 1)], "copy int, orig int")
